@@ -95,13 +95,13 @@ def ranked(df: DataFrame, keys: list[str], order: str, rank: str = "rank", shard
     t = t.withColumn("_r", F.row_number().over(own) - 1)
     n = t.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    n = n.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    n = n.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    n = n.select("_b", *[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_s"])])
     cond = None
-    for k in [*keys, "_s"]:
-        c = t[k].eqNullSafe(n[k])
+    for i, k in enumerate([*keys, "_s"]):
+        c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         cond = c if cond is None else cond & c
-    out = t.join(n, cond)
-    return out.select(*[t[c] for c in df.columns], (F.col("_r") + F.col("_b")).cast("long").alias(rank))
+    return t.join(n, cond).select(*df.columns, (F.col("_r") + F.col("_b")).cast("long").alias(rank))
 
 
 def pick(df: DataFrame, **cols: str | Column) -> DataFrame:

@@ -7,7 +7,7 @@ there are any).  A piece is the mean of the embeddings of its hashed character
 n-grams; a linear layer and a softmax give its language.  The softmax is
 calibrated on held-out pieces (one temperature), and pieces below the calibrated
 threshold, or without prose, count as no language.  A paragraph has the
-language of the greater part of its letters, and so has a document.
+language of the greater part of its prose in characters, and so has a document.
 
 Training: a sample of labelled documents, at most ``PER_LANGUAGE`` of each language
 (a parameter; drawn by hash, whole texts).  Labels are partly wrong, so a first
@@ -113,24 +113,29 @@ def plain(s: str) -> str:
     return " ".join(_WORD.findall(s))
 
 
-def pieces(paragraph: str) -> list[str]:
-    """Parts of at most PIECE words; none where there is no prose (fewer than 3 words or 10 letters)."""
-    out = []
-    for part in _END.split(mended(paragraph)):
-        words = plain(part).split(" ")
+def pieces(paragraph: str) -> list[tuple[str, float]]:
+    """(plain words, characters) of parts of at most PIECE words.
+
+    The characters are those of the part before it was made plain, markup aside.  No
+    parts where there is no prose: fewer than 3 words or 10 letters.
+    """
+    out: list[tuple[list[str], float]] = []
+    for part in _END.split(mended(paragraph).strip()):
+        words = plain(part).split()
         n = -(-len(words) // PIECE)
-        size = -(-len(words) // n)
-        out += [words[i : i + size] for i in range(0, len(words), size)]
-    whole = [w for p in out for w in p]
-    if len([w for w in whole if len(w) > 1]) < 3 or sum(map(len, whole)) < 10:
+        for i in range(n):
+            w = words[i * len(words) // n : (i + 1) * len(words) // n]
+            out.append((w, len(part) * len(w) / len(words)))
+    whole = [w for p, _ in out for w in p]
+    if sum(len(w) > 1 for w in whole) < 3 or sum(map(len, whole)) < 10:
         return []
-    kept: list[list[str]] = []
-    for p in out:  # a part too short to tell joins the one before it
-        if kept and (len(p) < 3 or len(kept[-1]) < 3):
-            kept[-1] = kept[-1] + p
-        elif p != [""]:
-            kept.append(p)
-    return [" ".join(p) for p in kept]
+    kept: list[tuple[list[str], float]] = []
+    for p, size in out:  # a part too short to tell joins the one before it
+        if kept and (len(p) < 3 or len(kept[-1][0]) < 3):
+            kept[-1] = (kept[-1][0] + p, kept[-1][1] + size)
+        else:
+            kept.append((p, size))
+    return [(" ".join(p), size) for p, size in kept]
 
 
 # -- features ------------------------------------------------------------------
@@ -227,7 +232,7 @@ def train(samples: list[tuple[str, str]], seed: int = 42, epochs: int = 3) -> Mo
     texts, y, doc = [], [], []
     for d, (text, lang) in enumerate(samples):
         for p in paragraphs(text or ""):
-            for q in pieces(p):
+            for q, _ in pieces(p):
                 texts.append(q), y.append(LANGUAGES.index(lang)), doc.append(d)
     if not texts:
         return None
@@ -273,7 +278,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 42) ->
 
 
 def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, label, segment_no, lang_code, confidence, letters, mixed) for (doc_id, text, label).
+    """(doc_id, label, segment_no, lang_code, confidence, chars, mixed) for (doc_id, text, label).
 
     Segment 0 is the document, 1, 2, ... are its paragraphs.  ``mixed``: the document's
     paragraphs are in more than one language.
@@ -281,7 +286,7 @@ def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the data
 
     def decide(of: np.ndarray, size: np.ndarray, lang: np.ndarray, prob: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The language with the most letters per unit, its confidence, its letters; -1 for none."""
+        """The language with the most characters per unit, its confidence, its characters; -1 for none."""
         k = len(LANGUAGES)
         ok = lang >= 0
         letters = np.bincount(of[ok] * k + lang[ok], size[ok], n * k).reshape(n, k)
@@ -295,33 +300,35 @@ def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model | None = broadcast.value
         for f in frames:
-            size = f["text"].map(lambda x: 0 if x is None else len(x)).to_numpy()
-            cut = np.flatnonzero(np.diff(np.cumsum(size) // CHARS)) + 1
+            chars = f["text"].map(lambda x: 0 if x is None else len(x)).to_numpy()
+            cut = np.flatnonzero(np.diff(np.cumsum(chars) // CHARS)) + 1
             for part in np.split(np.arange(len(f)), cut):
                 g = f.iloc[part]
                 texts: list[str] = []
+                size: list[float] = []
                 para: list[int] = []
                 doc_of: list[int] = []  # of each paragraph
                 no: list[int] = []
                 for d, text in enumerate(g["text"]):
                     for i, p in enumerate(paragraphs(text) if text else ()):
                         q = pieces(p) if m else []
-                        texts += q
+                        texts += [x for x, _ in q]
+                        size += [x for _, x in q]
                         para += [len(doc_of)] * len(q)
                         doc_of.append(d), no.append(i + 1)
                 score = m.scores(texts) if m else np.zeros((0, len(LANGUAGES)))
                 prob, lang = (score.max(1), score.argmax(1)) if len(texts) else (np.zeros(0), np.zeros(0, int))
                 lang = np.where(prob >= m.least, lang, -1) if m else lang
-                letters = np.array([len(t) for t in texts], float)
+                weight = np.array(size, float)
                 para_a, doc_a, n = np.array(para, int), np.array(doc_of, int), len(g)
-                pl, pc, pn = decide(para_a, letters, lang, prob, len(doc_of))
-                dl, dc, dn = decide(doc_a[para_a] if len(para_a) else para_a, letters, lang, prob, n)
+                pl, pc, pn = decide(para_a, weight, lang, prob, len(doc_of))
+                dl, dc, dn = decide(doc_a[para_a] if len(para_a) else para_a, weight, lang, prob, n)
                 kinds = np.zeros((n, len(LANGUAGES)), bool)
                 kinds[doc_a[pl >= 0], pl[pl >= 0]] = True
                 mixed = kinds.sum(1) > 1
                 code = np.array([*LANGUAGES, UND], object)  # -1 is the last
                 at = np.concatenate([np.arange(n), doc_a])
-                yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[at], "label": g["label"].to_numpy()[at], "segment_no": np.concatenate([np.zeros(n, int), no]).astype(np.int32), "lang_code": code[np.concatenate([dl, pl])], "confidence": np.concatenate([dc, pc]), "letters": np.concatenate([dn, pn]).astype(np.int64), "mixed": mixed[at]})
+                yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[at], "label": g["label"].to_numpy()[at], "segment_no": np.concatenate([np.zeros(n, int), no]).astype(np.int32), "lang_code": code[np.concatenate([dl, pl])], "confidence": np.concatenate([dc, pc]), "chars": np.concatenate([dn, pn]).round().astype(np.int64), "mixed": mixed[at]})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", "label").mapInPandas(run, f"doc_id {kind}, label string, segment_no int, lang_code string, confidence double, letters long, mixed boolean")
+    return docs.select("doc_id", "text", "label").mapInPandas(run, f"doc_id {kind}, label string, segment_no int, lang_code string, confidence double, chars long, mixed boolean")

@@ -24,7 +24,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Every document (segment 0) and every paragraph of a mixed one, with language and confidence."""
     t = _labelled(spark, sf).where("segment_no = 0 or mixed")
-    return t.select("doc_id", "segment_no", "lang_code", F.round("confidence", 4).alias("confidence"), "letters")
+    return t.select("doc_id", "segment_no", "lang_code", F.round("confidence", 4).alias("confidence"), "chars")
 
 
 QUERIES = {"p8_found": p8_found, "p8_labels": p8_labels}

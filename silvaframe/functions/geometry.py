@@ -7,7 +7,7 @@ implicitly.  Everything here is a built-in expression; clipping and filling are
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,27 +58,45 @@ def box(points: Column) -> Column:
     return F.when(valid(points), F.struct(F.array_min(xs(points)).alias("x0"), F.array_min(ys(points)).alias("y0"), F.array_max(xs(points)).alias("x1"), F.array_max(ys(points)).alias("y1")))
 
 
-def elongation(points: Column) -> Column:
-    """FN-22: root of the ratio of the vertices' principal variances (sample covariance), floored at 1e-12."""
-    a, b = xs(points), ys(points)
-    n = F.size(a)
-    c = centroid(points)
-    var = lambda u, m: F.aggregate(u, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / (n - 1)
-    cov = F.aggregate(F.zip_with(a, b, lambda x, y: (x - c["x"]) * (y - c["y"])), F.lit(0.0), lambda s, v: s + v) / (n - 1)
-    sxx, syy = var(a, c["x"]), var(b, c["y"])
-    mid, half = (sxx + syy) / 2, F.sqrt((sxx - syy) * (sxx - syy) / 4 + cov * cov)
+def moments(points: Column) -> Column:
+    """Struct (n, sx, sy, sxx, syy, sxy) of the vertices relative to the first, in one pass."""
+    x0, y0 = F.get(points, F.lit(0)), F.get(points, F.lit(1))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
+
+    def add(m: Column, i: Column) -> Column:
+        x, y = F.element_at(points, 2 * i + 1) - x0, F.element_at(points, 2 * i + 2) - y0
+        return F.struct((m["sx"] + x).alias("sx"), (m["sy"] + y).alias("sy"), (m["sxx"] + x * x).alias("sxx"), (m["syy"] + y * y).alias("syy"), (m["sxy"] + x * y).alias("sxy"))
+
+    return F.when(valid(points), F.aggregate(F.sequence(F.lit(0), (F.size(points) / 2).cast("int") - 1), zero, add))
+
+
+def elongation_of(m: Column, n: Column) -> Column:
+    """FN-22 from moments: root of the ratio of the principal variances (sample covariance), floored at 1e-12."""
+    var = lambda a, b, c: (m[c] - m[a] * m[b] / n) / (n - 1)
+    sxx, syy, sxy = var("sx", "sx", "sxx"), var("sy", "sy", "syy"), var("sx", "sy", "sxy")
+    mid, half = (sxx + syy) / 2, F.sqrt((sxx - syy) * (sxx - syy) / 4 + sxy * sxy)
     ratio = F.sqrt(F.greatest(mid + half, F.lit(1e-12)) / F.greatest(mid - half, F.lit(1e-12)))
-    return F.when(valid(points), F.when(F.isnan(ratio), 1.0).otherwise(ratio))
+    return F.when(F.isnan(ratio), 1.0).otherwise(ratio)
 
 
-def descriptors(points: Column, width: Column, height: Column) -> Column:
-    """FN-23: struct (area_frac, log_area, sphericity, log_aspect, log_elong, bbox_extent); null for degenerate polygons."""
-    a, p, b = area(points), perimeter(points), box(points)
-    frac = a / F.nullif(width * height, F.lit(0))
-    bw, bh = F.greatest(b["x1"] - b["x0"], F.lit(1e-6)), F.greatest(b["y1"] - b["y0"], F.lit(1e-6))
-    sphere = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 4 * F.pi() * a / F.nullif(p * p, F.lit(0.0))))
-    out = F.struct(frac.alias("area_frac"), F.ln(F.greatest(frac, F.lit(1e-12))).alias("log_area"), sphere.alias("sphericity"), F.ln(bw / bh).alias("log_aspect"), F.ln(elongation(points)).alias("log_elong"), (a / (bw * bh)).alias("bbox_extent"))
-    return F.when(valid(points) & (a > 0), out)
+def elongation(points: Column) -> Column:
+    """FN-22 of a polygon's vertices; null if it is not valid."""
+    return elongation_of(moments(points), F.size(points) / 2)
+
+
+def with_descriptors(df: DataFrame, points: str = "points", width: str = "width", height: str = "height") -> DataFrame:
+    """FN-23: adds area_frac, log_area, sphericity, log_aspect, log_elong and bbox_extent; rows of degenerate polygons (FL-4) are dropped.
+
+    Area, perimeter, box and moments are columns of their own first, so each outline is walked once for each.
+    """
+    p = F.col(points)
+    t = df.where(valid(p)).withColumns({"_a": area(p), "_p": perimeter(p), "_b": box(p), "_m": moments(p)}).where("_a > 0")
+    frac = F.col("_a") / F.nullif(F.col(width) * F.col(height), F.lit(0))
+    bw, bh = F.greatest(F.col("_b.x1") - F.col("_b.x0"), F.lit(1e-6)), F.greatest(F.col("_b.y1") - F.col("_b.y0"), F.lit(1e-6))
+    t = t.withColumns({"_f": frac, "_w": bw, "_h": bh})
+    sphere = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 4 * F.pi() * F.col("_a") / F.nullif(F.col("_p") * F.col("_p"), F.lit(0.0))))
+    out = {"area_frac": F.col("_f"), "log_area": F.ln(F.greatest("_f", F.lit(1e-12))), "sphericity": sphere, "log_aspect": F.ln(F.col("_w") / F.col("_h")), "log_elong": F.ln(elongation_of(F.col("_m"), F.size(p) / 2)), "bbox_extent": F.col("_a") / (F.col("_w") * F.col("_h"))}
+    return t.withColumns(out).drop("_a", "_p", "_b", "_m", "_f", "_w", "_h")
 
 
 def largest(parts: Column) -> Column:

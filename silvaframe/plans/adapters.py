@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime as R
 from ..functions import geometry as G
 from ..functions.species import species_of
 from ..operators import nested as N
@@ -49,7 +50,8 @@ def polygons(spark: SparkSession, sf: str) -> DataFrame:
     a = a.select(F.expr("try_cast(pk as bigint)").alias("annotation_id"), F.expr("try_cast(parent as bigint)").alias("image_id"), F.col("o.category_id").alias("class_id"), "kind", parts.alias("parts"), F.col("o.score").alias("score")).where("annotation_id is not null").distinct()
     im = N.read_table(spark, path, "image", "width int, height int")
     im = im.groupBy(F.expr("try_cast(pk as bigint)").alias("image_id")).agg(F.max("o.width").alias("width"), F.max("o.height").alias("height"))
-    return a.withColumn("points", G.largest(F.col("parts"))).join(im, "image_id", "left")
+    # written once: filters on the points would else be pushed below and repeat the parsing
+    return R.written(a.withColumn("points", G.largest(F.col("parts"))).join(im, "image_id", "left"), "polygons")
 
 
 _SP = r"CASE WHEN species_id IS NULL OR lower(trim(species_id)) IN ('', 'nan') THEN NULL ELSE try_cast(nullif(regexp_extract(trim(species_id), '^0*(\d+?)(?:\.0*)?$', 1), '') AS BIGINT) END"

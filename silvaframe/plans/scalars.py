@@ -84,7 +84,7 @@ def largest_part(spark: SparkSession, sf: str) -> DataFrame:
 def label_lines(spark: SparkSession, sf: str) -> DataFrame:
     """FN-32: normalised label lines with 0-based classes."""
     t = _polys(spark, sf).where("width > 0 and height > 0 and class_id is not null")
-    return t.select("annotation_id", G.label_line(F.col("class_id") - 1, F.col("points"), F.col("width"), F.col("height"), 8).alias("line"))
+    return t.select("annotation_id", G.label_line(F.col("class_id") - 1, F.col("points"), F.col("width"), F.col("height"), 12).alias("line"))
 
 
 QUERIES = {f.__name__: f for f in (species_id_parse, safe_names, norm_names, genus, id_canonical, list_cell, schedules, poly_area, poly_descriptors, largest_part, label_lines)}
@@ -110,5 +110,5 @@ SQL = {
 h AS (SELECT *, greatest(list_max(xs) - list_min(xs), 1e-6) AS bw, greatest(list_max(ys) - list_min(ys), 1e-6) AS bh, {_EL} AS el FROM g WHERE a > 0)
 SELECT annotation_id, round(a / (width * height), 8) AS area_frac, round(ln(greatest(a / (width * height), 1e-12)), 8) AS log_area, round(least(1, greatest(0, 4 * pi() * a / nullif(p * p, 0))), 8) AS sphericity, round(ln(bw / bh), 8) + 0.0 AS log_aspect, round(ln(el), 8) AS log_elong, round(a / (bw * bh), 8) AS bbox_extent FROM h""",
     "largest_part": _P + ", s AS (SELECT *, list_filter(parts, lambda q: len(q) >= 6 AND len(q) % 2 = 0) AS v FROM poly) SELECT annotation_id, len(parts) AS n_parts, len(v) AS n_split, CASE WHEN len(v) = 1 THEN 1 ELSE 0 END AS n_skip, CASE WHEN len(v) > 0 THEN 1 ELSE 0 END AS n_concat, coalesce(len(points) // 2, 0) AS vertices FROM s",
-    "label_lines": _P + ", e AS (SELECT annotation_id, class_id, list_transform(points, lambda v, i: printf('%.8f', least(1.0, greatest(0.0, v / CASE WHEN i % 2 = 1 THEN width ELSE height END)))) AS c FROM poly WHERE points IS NOT NULL AND width > 0 AND height > 0 AND class_id IS NOT NULL) SELECT annotation_id, (class_id - 1)::VARCHAR || ' ' || array_to_string(c, ' ') AS line FROM e",
+    "label_lines": _P + ", e AS (SELECT annotation_id, class_id, list_transform(points, lambda v, i: printf('%.12f', least(1.0, greatest(0.0, v / CASE WHEN i % 2 = 1 THEN width ELSE height END)))) AS c FROM poly WHERE points IS NOT NULL AND width > 0 AND height > 0 AND class_id IS NOT NULL) SELECT annotation_id, (class_id - 1)::VARCHAR || ' ' || array_to_string(c, ' ') AS line FROM e",
 }

@@ -20,17 +20,22 @@ def fill(points, width: int, height: int) -> np.ndarray:
         return mask
     q = np.roll(p, -1, axis=0)
     y0, y1 = int(max(p[:, 1].min(), 0)), int(min(p[:, 1].max(), height - 1))
-    for y in range(y0, y1 + 1):
-        cross = (p[:, 1] <= y) != (q[:, 1] <= y)
-        a, b = p[cross], q[cross]
-        x = np.sort(a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
-        for lo, hi in zip(x[::2], x[1::2], strict=False):
-            mask[y, max(int(np.ceil(lo)), 0) : max(int(np.floor(hi)) + 1, 0)] = True
-    for (xa, ya), (xb, yb) in zip(p, q, strict=True):
-        n = int(max(abs(xb - xa), abs(yb - ya))) + 1
-        xs, ys = np.rint(np.linspace(xa, xb, n)).astype(int), np.rint(np.linspace(ya, yb, n)).astype(int)
-        ok = (xs >= 0) & (xs < width) & (ys >= 0) & (ys < height)
-        mask[ys[ok], xs[ok]] = True
+    if y1 >= y0:
+        y = np.arange(y0, y1 + 1)[:, None]
+        cross = (p[None, :, 1] <= y) != (q[None, :, 1] <= y)
+        rise = np.where(q[:, 1] == p[:, 1], 1.0, q[:, 1] - p[:, 1])
+        x = np.where(cross, p[:, 0] + (y - p[:, 1]) * ((q[:, 0] - p[:, 0]) / rise), np.inf)
+        x.sort(axis=1)
+        across = np.arange(width)
+        for k in range(0, int(cross.sum(1).max(initial=0)), 2):  # spans from left to right
+            lo, hi = np.ceil(x[:, k])[:, None], np.where(np.isinf(x[:, k + 1]), -1, np.floor(x[:, k + 1]))[:, None]
+            mask[y0 : y1 + 1] |= (across >= lo) & (across <= hi)
+    n = np.maximum(np.abs(q - p).max(1).astype(int), 1)
+    edge = np.repeat(np.arange(len(p)), n)
+    t = ((np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)) / n[edge])[:, None]
+    at = np.rint(p[edge] + (q[edge] - p[edge]) * t).astype(int)
+    at = at[(at >= 0).all(1) & (at[:, 0] < width) & (at[:, 1] < height)]
+    mask[at[:, 1], at[:, 0]] = True
     return mask
 
 

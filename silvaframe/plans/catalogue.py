@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("features", "records", "scalars", "distances", "evaluations")
+_MODULES: tuple[str, ...] = ("features", "records", "scalars", "distances", "evaluations", "processes")
 
 
 def _all(what: str) -> dict:

@@ -86,12 +86,11 @@ def intra(points: DataFrame, group: str) -> DataFrame:
 
 def intra_spread(points: DataFrame, group: str, key: str) -> DataFrame:
     """AG-19: population deviation and maximum of the distances within a group; these need the group's pairs."""
-    t = points.select(group, F.col(key).alias("k"), F.col("v"))
-    a, b = t.select(F.col(group).alias("g"), F.col("k").alias("ka"), F.col("v").alias("va")), t.select(F.col(group).alias("h"), F.col("k").alias("kb"), F.col("v").alias("vb"))
-    p = a.join(b, (F.col("g") == F.col("h")) & (F.col("ka") < F.col("kb"))).select("g", V.cosine_distance(F.col("va"), F.col("vb")).alias("d"))
-    s = p.groupBy("g").agg(F.stddev_pop("d").alias("s"), F.max("d").alias("m"))
-    t = points.select(group).distinct().join(s, F.col(group) == F.col("g"), "left")
-    return t.select(group, F.coalesce("s", F.lit(0.0)).alias("intra_std"), F.coalesce("m", F.lit(0.0)).alias("intra_max"))
+    side = lambda x: points.select(*[F.col(c).alias(f"_{x}{n}") for c, n in ((group, "g"), (key, "k"), ("v", "v"))])
+    p = side("a").join(side("b"), (F.col("_ag") == F.col("_bg")) & (F.col("_ak") < F.col("_bk")))
+    s = p.groupBy("_ag").agg(F.stddev_pop(V.cosine_distance(F.col("_av"), F.col("_bv"))).alias("_s"), F.max(V.cosine_distance(F.col("_av"), F.col("_bv"))).alias("_m"))
+    t = points.select(group).distinct().join(s, F.col(group) == F.col("_ag"), "left")
+    return t.select(group, F.coalesce("_s", F.lit(0.0)).alias("intra_std"), F.coalesce("_m", F.lit(0.0)).alias("intra_max"))
 
 
 def separability(inter_m: DataFrame, intra_m: DataFrame, group: str) -> DataFrame:

@@ -77,9 +77,11 @@ def fourier_features(df: DataFrame, columns: list[str], n: int = 128, gamma: flo
 def probabilities(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
     """ML-8: (image_id, species, prob) of every class, long."""
     labels = model.stages[0].labels
-    t = model.transform(df).select(F.col(key).alias("image_id"), F.posexplode(vector_to_array("probability")).alias("i", "prob"))
-    names = F.array(*[F.lit(x) for x in labels])
-    return t.where(F.col("i") < len(labels)).select("image_id", F.get(names, F.col("i")).alias("species"), "prob")
+    known = F.slice(vector_to_array("probability"), 1, len(labels))  # without the place for unseen labels
+    t = model.transform(df).select(F.col(key).alias("image_id"), known.alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    t = t.select("image_id", F.posexplode(F.transform("p", lambda x: x / total)).alias("i", "prob"))
+    return t.select("image_id", F.get(F.array(*[F.lit(x) for x in labels]), F.col("i")).alias("species"), "prob")
 
 
 def cross_predict(df: DataFrame, make, label: str, key: str, k: int = 5) -> DataFrame:

@@ -21,9 +21,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """SRC-7: a labelled square matrix as (a, b, d); labels of digits are padded to four."""
     t = spark.read.option("header", True).csv(path)
-    first, *rest = t.columns
-    t = t.withColumnRenamed(first, "a").unpivot(["a"], [F.col(f"`{c}`") for c in rest], "b", "d")
-    return t.select(canonical_id(F.col("a")).alias("a"), canonical_id(F.col("b")).alias("b"), F.col("d").try_cast("double").alias("d"))
+    names = t.columns[1:]
+    t = t.toDF("_row", *[f"_{i}" for i in range(len(names))])  # labels may be any text
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("b"), F.col(f"_{i}").alias("d")) for i, n in enumerate(names)]))
+    t = t.select("_row", cells.alias("c"))
+    return t.select(canonical_id(F.col("_row")).alias("a"), canonical_id(F.col("c.b")).alias("b"), F.col("c.d").try_cast("double").alias("d"))
 
 
 def read_species_map(spark: SparkSession, path: str) -> DataFrame:

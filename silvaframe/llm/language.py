@@ -40,6 +40,8 @@ UND = "und"
 PER_LANGUAGE = 300
 PIECE = 14
 CHARS = 1_000_000
+#: Small samples are gone through more often, so that there are at least so many steps.
+LEAST_STEPS = 400
 BUCKETS, DIM, GRAMS = 1 << 15, 12, (2, 3, 4, 5)
 
 #: What a label may say for each language, without accents, in lower case.
@@ -202,6 +204,7 @@ def _sgd(texts: list[str], y: np.ndarray, weight: np.ndarray, rng: np.random.Gen
     h, of = hashed(texts)
     order = np.argsort(of, kind="stable")
     h, n = h[order], np.bincount(of, minlength=len(texts))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
     begin = np.concatenate([[0], np.cumsum(n)])
     steps, step = epochs * -(-len(texts) // batch), 0
     for _ in range(epochs):

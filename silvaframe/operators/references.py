@@ -78,7 +78,7 @@ def cascade(references: list[Reference], children: list[Child] = ()) -> DataFram
         for c in children:
             parents = edge.where(F.col("ref_table") == c.parent).select(F.col("row_key").alias("parent_key")).distinct()
             known = found.where(F.col("ref_table") == c.table).select("row_key").distinct()
-            rows = c.rows.where("parent_key is not null").join(parents, "parent_key", "left_semi").join(known, "row_key", "left_anti")
+            rows = c.rows.select("row_key", "parent_key", "time").where("parent_key is not null").join(parents, "parent_key", "left_semi").join(known, "row_key", "left_anti")
             rows = rows.select(F.lit(c.table).alias("ref_table"), F.lit(c.field).alias("ref_field"), "row_key", F.lit("inherited").alias("state"), "time", F.lit(level).alias("level")).distinct()
             new = rows if new is None else new.unionByName(rows)
         edge = R.written(new, f"orphans-{level}")

@@ -71,7 +71,7 @@ def poly_area(spark: SparkSession, sf: str) -> DataFrame:
 def poly_descriptors(spark: SparkSession, sf: str) -> DataFrame:
     """FN-22, FN-23: shape descriptors."""
     t = G.with_descriptors(_polys(spark, sf).where("width > 0 and height > 0"))
-    return t.select("annotation_id", *[(F.round(m, 8) + F.lit(0.0)).alias(m) for m in A.MEASURES])
+    return t.select("annotation_id", *[(F.round(m, 11) + F.lit(0.0)).alias(m) for m in A.MEASURES])
 
 
 def largest_part(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +108,7 @@ SQL = {
     "poly_area": f"{_P} SELECT annotation_id, round({A.AREA}, 6) AS area, round({A.PERIMETER}, 6) AS perimeter, round(list_sum({A.XS}) / len({A.XS}), 6) AS cx, round(list_sum({A.YS}) / len({A.YS}), 6) AS cy, list_min({A.XS}) AS x0, list_min({A.YS}) AS y0, list_max({A.XS}) AS x1, list_max({A.YS}) AS y1 FROM poly WHERE points IS NOT NULL",
     "poly_descriptors": f"""{_P}, g AS (SELECT annotation_id, {A.AREA} AS a, {A.PERIMETER} AS p, {A.XS} AS xs, {A.YS} AS ys, list_sum({A.XS}) / len({A.XS}) AS cx, list_sum({A.YS}) / len({A.YS}) AS cy, width, height FROM poly WHERE points IS NOT NULL AND width > 0 AND height > 0),
 h AS (SELECT *, greatest(list_max(xs) - list_min(xs), 1e-6) AS bw, greatest(list_max(ys) - list_min(ys), 1e-6) AS bh, {_EL} AS el FROM g WHERE a > 0)
-SELECT annotation_id, round(a / (width * height), 8) AS area_frac, round(ln(greatest(a / (width * height), 1e-12)), 8) AS log_area, round(least(1, greatest(0, 4 * pi() * a / nullif(p * p, 0))), 8) AS sphericity, round(ln(bw / bh), 8) + 0.0 AS log_aspect, round(ln(el), 8) AS log_elong, round(a / (bw * bh), 8) AS bbox_extent FROM h""",
+SELECT annotation_id, round(a / (width * height), 11) AS area_frac, round(ln(greatest(a / (width * height), 1e-12)), 11) AS log_area, round(least(1, greatest(0, 4 * pi() * a / nullif(p * p, 0))), 11) AS sphericity, round(ln(bw / bh), 11) + 0.0 AS log_aspect, round(ln(el), 11) AS log_elong, round(a / (bw * bh), 11) AS bbox_extent FROM h""",
     "largest_part": _P + ", s AS (SELECT *, list_filter(parts, lambda q: len(q) >= 6 AND len(q) % 2 = 0) AS v FROM poly) SELECT annotation_id, len(parts) AS n_parts, len(v) AS n_split, CASE WHEN len(v) = 1 THEN 1 ELSE 0 END AS n_skip, CASE WHEN len(v) > 0 THEN 1 ELSE 0 END AS n_concat, coalesce(len(points) // 2, 0) AS vertices FROM s",
     "label_lines": _P + ", e AS (SELECT annotation_id, class_id, list_transform(points, lambda v, i: printf('%.12f', least(1.0, greatest(0.0, v / CASE WHEN i % 2 = 1 THEN width ELSE height END)))) AS c FROM poly WHERE points IS NOT NULL AND width > 0 AND height > 0 AND class_id IS NOT NULL) SELECT annotation_id, (class_id - 1)::VARCHAR || ' ' || array_to_string(c, ' ') AS line FROM e",
 }

@@ -22,6 +22,8 @@ only in ``all``.  An empty table gives empty results.  Extra columns are ignored
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +45,38 @@ class PairTable:
             "counts": s([f("grp", T.StringType()), f("a", item), f("b", item), f("n", T.LongType())]),
         }
         self.version, self.live = 0, {t: {} for t in self.schemas}  # table -> bucket -> folder
+        if path:
+            self._open()
 
     # -- state ---------------------------------------------------------------
+    def _open(self) -> None:
+        """Go on from the newest manifest of the folder, if there is one."""
+        found = [n for n in R.children(self.spark, self.path) if n.startswith("manifest-")]
+        if found:
+            m = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/{found[-1]}").coalesce(1).collect()))
+            if m["buckets"] != self.buckets:
+                raise ValueError(f"this state has {m['buckets']} buckets")
+            self.version = m["version"]
+            self.live = {t: {int(b): p for b, p in x.items()} for t, x in m["live"].items()}
+
+    def _commit(self) -> None:
+        """Name the live folders in a manifest; a batch that failed before this has changed nothing."""
+        text = json.dumps({"version": self.version, "buckets": self.buckets, "live": self.live})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:09d}")
+
+    def vacuum(self) -> int:
+        """Remove the bucket folders that no table uses any more; how many they were."""
+        used = {p for x in self.live.values() for p in x.values()}
+        gone = 0
+        for v in (n for n in R.children(self.spark, self.path) if n.startswith("v")):
+            for what in R.children(self.spark, f"{self.path}/{v}"):
+                for b in R.children(self.spark, f"{self.path}/{v}/{what}"):
+                    p = f"{self.path}/{v}/{what}/{b}"
+                    if b.startswith("bucket=") and p not in used:
+                        R.remove(self.spark, p)
+                        gone += 1
+        return gone
+
     def _bucket(self, *cols: str) -> Column:
         return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int")
 
@@ -100,6 +132,7 @@ class PairTable:
             path, wrote = self._write(whole.withColumn("bucket", self._bucket("basket")), "baskets")
             self._swap("baskets", path, wrote, touched)
         self._merge(self._deltas(change))
+        self._commit()
         return self
 
     def _deltas(self, change: DataFrame) -> DataFrame:

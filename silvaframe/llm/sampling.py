@@ -123,7 +123,7 @@ def reservoirs(photos: DataFrame, targets: list[Target], seed: int = 42) -> Data
         for g, (share, least) in t.groups.items():
             caps[g] = max(caps.get(g, 0), quota(int(share), t.size, int(least)))
     plan = photos.sparkSession.createDataFrame([(g, int(c)) for g, c in sorted(caps.items())], "grp string, cap long")
-    t = photos.where("key is not null").withColumn("h", F.xxhash64(F.lit(seed), "key"))
+    t = photos.where("key is not null").select("key", "grp", "mask").withColumn("h", F.xxhash64(F.lit(seed), "key"))
     t = t.withColumn("slice", F.pmod(F.col("h"), F.lit(SLICES)).cast("int"))
     w = W.partitionBy("grp", "mask", "slice")
     t = t.withColumn("up", F.row_number().over(w.orderBy(F.col("h"), F.col("key")))).withColumn("seen", F.count(F.lit(1)).over(w))

@@ -57,7 +57,6 @@ def test_pack(spark):
             whole[r["doc_id"]] += r["size"]
             assert r["first_token"] == r["piece_no"] * cap
         assert dict(whole) == dict(docs)
-        assert all(sum(r["doc_id"] == d for r in own[:0]) == 0 for d, _ in docs[:1])
         assert {d: sum(1 for r in own if r["doc_id"] == d) for d, n in docs if n <= cap} == {d: 1 for d, n in docs if n <= cap}
         total = sum(n for _, n in docs)
         assert len(per) <= 1.1 * total / cap + 2
@@ -68,7 +67,7 @@ def test_pack(spark):
 
 def test_token_counts(spark):
     long = "palabra " * 20000
-    t = spark.createDataFrame([(1, "hello <|endoftext|>", "a"), (1, "hello <|endoftext|>", "a"), (2, "", None), (3, None, "b"), (4, long, "c"), (None, "x", "d"), (5, "\ud83d" if False else "日本 ñ", "e")], "doc_id long, text string, source string")
+    t = spark.createDataFrame([(1, "hello <|endoftext|>", "a"), (1, "hello <|endoftext|>", "a"), (2, "", None), (3, None, "b"), (4, long, "c"), (None, "x", "d"), (5, "日本 ñ", "e")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["n_tokens"] for r in K.token_counts(t, "doc_id", "text", ("source",)).collect()}
     enc = K.encoding(K.VOCABULARY)
     assert got == {1: len(enc.encode_ordinary("hello <|endoftext|>")), 2: 0, 3: 0, 4: len(enc.encode_ordinary(long)), 5: len(enc.encode_ordinary("日本 ñ"))}
@@ -100,7 +99,7 @@ def test_fit_of_a_large_budget():
 def test_mix(spark):
     rng = random.Random(6)
     docs = [(i, ("big", "big", "mid", "tiny", "none")[i % 5] if i % 11 else None, rng.randint(0, 60)) for i in range(2000)]
-    t = spark.createDataFrame(docs + docs[:0], "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     have = Counter()
     for _, s, n in docs:
         have[s] += n

@@ -53,6 +53,18 @@ def test_batches_against_brute_force(spark, wide):
     assert table.live["counts"] == before[1]
 
 
+def test_state_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    make = lambda: PairTable(spark, T.LongType(), T.IntegerType(), path=path)
+    make().apply(spark.createDataFrame([(1, "g", 1, ""), (1, "g", 2, "")], ROW))
+    table = make().apply(spark.createDataFrame([(1, "g", 3, ""), (2, "g", 1, "")], ROW))
+    want = brute({1: ("g", {1, 2, 3}), 2: ("g", {1})})
+    assert table.version == 2 and got(table) == want
+    assert table.vacuum() > 0 and table.vacuum() == 0 and got(make()) == want
+    with pytest.raises(ValueError):
+        PairTable(spark, T.LongType(), T.IntegerType(), path=path, buckets=3)
+
+
 def test_hot_group_and_duplicates(spark):
     rows = [(b, "hot" if b % 3 else f"g{b}", i, "") for b in range(90) for i in (1, 2, b % 5 + 3)] * 2
     table = PairTable(spark, T.LongType(), T.IntegerType()).apply(spark.createDataFrame(rows, ROW))

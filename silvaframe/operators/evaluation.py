@@ -115,3 +115,20 @@ def class_report(pairs: DataFrame) -> DataFrame:
     acc = F.try_divide(F.sum("tp"), n)
     accuracy = per.agg(F.lit("accuracy").alias("label"), *[acc.alias(c) for c in cols], n.alias("support"))
     return per.select("label", *cols, "support").unionByName(macro).unionByName(weighted).unionByName(accuracy)
+
+
+def nearest_instance(cand: DataFrame) -> DataFrame:
+    """WN-8: the most similar true instance of each prediction; ties by its id."""
+    best = F.max_by(F.struct("gt_id", "iou"), F.struct("iou", (-F.col("gt_id")).alias("i")))
+    return cand.groupBy("image_id", "pred_id").agg(best.alias("b")).select("image_id", "pred_id", "b.gt_id", "b.iou")
+
+
+def prior_divergence(priors: DataFrame, predicted: DataFrame) -> DataFrame:
+    """J-18: L1 distance of predicted presence and area per class from the species' priors; absent classes count 0.
+
+    Both: species_id, class_id, presence, area.
+    """
+    k = ["species_id", "class_id"]
+    p = predicted.select(*k, F.col("presence").alias("_p"), F.col("area").alias("_a"))
+    t = priors.select(*k, "presence", "area").join(p, k, "full_outer").na.fill(0.0, ["presence", "area", "_p", "_a"])
+    return t.groupBy("species_id").agg(F.sum(F.abs(F.col("presence") - F.col("_p"))).alias("presence_l1"), F.sum(F.abs(F.col("area") - F.col("_a"))).alias("area_l1"))

@@ -135,3 +135,38 @@ def coverage(df: DataFrame, classes: list[str]) -> DataFrame:
     """AG-29: images per split and class that have it.  ``df``: split, mask."""
     bits = F.explode(F.array(*[F.struct(F.lit(c).alias("class_name"), (F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1).alias("on")) for i, c in enumerate(classes)])).alias("b")
     return df.select("split", bits).groupBy("split", "b.class_name").agg(F.count_if("b.on").alias("images"))
+
+
+def assert_coverage(cover: DataFrame, least: int = 1) -> None:
+    """FL-13: raises if a class has fewer than ``least`` images in a split.  ``cover``: split, class_name, images."""
+    bad = cover.where(F.col("images") < least).orderBy("split", "class_name").limit(20).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['split']} has {r['images']} images of {r['class_name']}" for r in bad))
+
+
+def required_columns(df: DataFrame, names: list[str]) -> None:
+    """SO-6: raises if columns are missing."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def sequential_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
+    """WN-7: 1-based ids in a total order, without one task for all rows.
+
+    Rows are range-partitioned by the order and written, so that the ranges stand; each partition's offset
+    is the number of rows before it (a count per partition).
+    """
+    t = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    t = R.written(t.withColumn("_p", F.spark_partition_id()), "ranges")
+    n = t.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    own = F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    return t.withColumn("_r", own).join(n, "_p").withColumn(name, F.col("_b") + F.col("_r") + (start - 1)).select(*df.columns, name)
+
+
+def most_imaged(images: DataFrame, k: int = 12) -> DataFrame:
+    """ST-6: the k species with the most images, a top-k report."""
+    n = images.where("species_id is not null").groupBy("species_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.desc("n"), "species_id").limit(k)

@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..operators import confidence as C
 from ..operators import distance as D
 from ..operators import evaluation as E
+from ..operators import features as O
 from ..operators import proximity as P
 from ..operators import splits as S
 from . import adapters as A
@@ -106,6 +107,20 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
     return _r(E.class_report(_pairs(spark, sf).where(F.col("pred_label") != E.BACKGROUND)), *_M, digits=8)
 
 
+def nearest_instance(spark: SparkSession, sf: str) -> DataFrame:
+    """WN-8."""
+    gt, pred = _gt_pred(spark, sf)
+    return _r(E.nearest_instance(E.candidates(gt, pred, G.box_iou, 0.1, G.box_overlap)), "iou", digits=8)
+
+
+def prior_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """J-18: priors of all annotations against those of the exports' images."""
+    im, an = A.images(spark, sf), A.annotations(spark, sf)
+    p = R.written(O.presence_priors(im, an, A.IDS), "priors")
+    some = an.where("area_frac >= 0.003")
+    return _r(E.prior_divergence(p, O.presence_priors(im, some, A.IDS)), "presence_l1", "area_l1", digits=12)
+
+
 # -- confidence on embeddings -------------------------------------------------------
 
 
@@ -221,6 +236,17 @@ def split_assign(spark: SparkSession, sf: str) -> DataFrame:
     return S.assign(t, "photo", len(A.CLASSES))
 
 
+def image_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """WN-7: sequential ids of the photographs in the order of their paths."""
+    t = A.table(spark, sf, "relative_feature_vectors").where("image_path is not null").select(F.translate("image_path", "\\", "/").alias("photo")).distinct()
+    return S.sequential_ids(t, ["photo"])
+
+
+def most_imaged(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-6."""
+    return S.most_imaged(A.images(spark, sf))
+
+
 # -- proximity --------------------------------------------------------------------------
 
 
@@ -255,7 +281,7 @@ def overlap_cells(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        iou_candidates, greedy_match, detection_confusion, confusion_long, confusion_rollup, class_metrics, global_metrics, species_trait_metrics, support_gate, trait_ranking, trait_pivot, class_report,
+        iou_candidates, greedy_match, detection_confusion, confusion_long, confusion_rollup, class_metrics, global_metrics, species_trait_metrics, support_gate, trait_ranking, trait_pivot, class_report, nearest_instance, prior_divergence, image_ids, most_imaged,
         topk_classes, rank_true, hit_rate, spread_coherence, expected_distance, severity, severity_summary, image_confidence, union_splits, dedupe_first, species_intersection, split_difference, coverage_report, species_distribution, split_assign,
         proximity_pairs, proximity_overlap, duplicate_outlines, overlap_cells,
     )
@@ -284,7 +310,15 @@ pb AS (SELECT image_id, species, w / sum(w) OVER (PARTITION BY image_id) AS prob
 tr AS (SELECT vec_id AS image_id, label AS true_species FROM embeddings), rt AS (SELECT tr.image_id, true_species, rank AS rank_true, prob AS prob_true FROM tr LEFT JOIN tk ON tk.image_id = tr.image_id AND tk.species = tr.true_species), """ + Q._cos("c", "m") + ", y AS (SELECT a, b, d FROM m UNION ALL SELECT b, a, d FROM m)"
 _RC = "WITH rc AS (" + " UNION ".join(f"SELECT record_id, image_path, species_id, split, {', '.join(f'count_feat_{c} <> 0 AS h{i}' for i, c in enumerate(A.CLASSES))} FROM {t}" for t in ("train", "val", "test")) + ")"
 _SEV = _SC + ", sv AS (SELECT tk.image_id, true_species, species AS predicted_species, CAST(species = true_species AS INT) AS correct, CASE WHEN species = true_species THEN 0 ELSE d / (SELECT max(d) FROM m) END AS severity FROM tk JOIN tr USING (image_id) LEFT JOIN y ON y.a = true_species AND y.b = species WHERE rank = 1)"
+_PRIOR2 = A.BASE + "".join(f""", x{n} AS (SELECT species_id, ann.image_id, class_id, sum(area_frac) AS area FROM ann JOIN img USING (image_id) WHERE species_id IS NOT NULL AND {w} GROUP BY 1, 2, 3),
+y{n} AS (SELECT species_id, class_id, count(*) AS p, sum(area) AS area FROM x{n} GROUP BY 1, 2)""" for n, w in ((1, "TRUE"), (2, "area_frac >= 0.003"))) + """, sn AS (SELECT species_id, count(*) AS n FROM img WHERE species_id IS NOT NULL GROUP BY 1),
+j AS (SELECT sn.species_id, n, coalesce(y1.p, 0) AS p1, coalesce(y1.area, 0) AS a1, coalesce(y2.p, 0) AS p2, coalesce(y2.area, 0) AS a2 FROM sn CROSS JOIN cat LEFT JOIN y1 ON y1.species_id = sn.species_id AND y1.class_id = cat.class_id LEFT JOIN y2 ON y2.species_id = sn.species_id AND y2.class_id = cat.class_id)
+SELECT species_id, round(sum(abs(p1 / n - p2 / n)), 12) AS presence_l1, round(sum(abs(a1 / n - a2 / n)), 12) AS area_l1 FROM j GROUP BY 1"""
 SQL = {
+    "nearest_instance": _GP.split("\nSELECT image_id, gt_id")[0] + ", c AS (SELECT image_id, gt_id, pred_id, ov / (sa + sb - ov) AS iou FROM ov WHERE ov > 0 AND ov / (sa + sb - ov) >= 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, gt_id) AS r FROM c) SELECT image_id, pred_id, gt_id, round(iou, 8) AS iou FROM r WHERE r = 1",
+    "prior_divergence": _PRIOR2,
+    "image_ids": "SELECT photo, row_number() OVER (ORDER BY photo) AS id FROM (SELECT DISTINCT replace(image_path, '\\', '/') AS photo FROM relative_feature_vectors WHERE image_path IS NOT NULL)",
+    "most_imaged": A.BASE + " SELECT species_id, count(*) AS n FROM img WHERE species_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, species_id LIMIT 12",
     "iou_candidates": _GP,
     "confusion_long": _PA + " SELECT g AS gt_label, p AS pred_label, count(*) AS n FROM pa GROUP BY 1, 2",
     "confusion_rollup": _PA + " SELECT image_id, species_id, g AS gt_label, p AS pred_label, CASE WHEN grouping(image_id) = 0 THEN 'image' WHEN grouping(species_id) = 0 THEN 'species' ELSE 'whole' END AS level, count(*) AS n FROM pa GROUP BY GROUPING SETS ((image_id, g, p), (species_id, g, p), (g, p))",

@@ -212,3 +212,31 @@ def test_empty_frames(spark):
     assert O.trait_scores(im, an, [1]).count() == 0
     assert O.empty_guard(im, an) == 0
     assert E.greedy(cand(spark, [])).count() == 0
+
+
+def test_guards_and_ids(spark):
+    cover = spark.createDataFrame([("val", "a", 0), ("test", "a", 3)], "split string, class_name string, images long")
+    with pytest.raises(ValueError, match="val has 0"):
+        S.assert_coverage(cover)
+    S.assert_coverage(cover.where("images > 0"))
+    with pytest.raises(ValueError, match="zz"):
+        S.required_columns(cover, ["split", "zz"])
+    t = spark.createDataFrame([(x,) for x in random.Random(3).sample(range(10000), 3000)], "v int").repartition(5)
+    got = [r["id"] for r in S.sequential_ids(t, ["v"]).orderBy("v").collect()]
+    assert got == list(range(1, 3001))
+
+
+def test_sql_functions(spark):
+    from silvaframe.functions import registry
+
+    names = registry.register(spark)
+    r = spark.sql("""SELECT species_token('a/0003-1.jpg') AS a, canonical_id(' 30.0 ') AS b, polygon_area(array(0D, 0D, 10D, 0D, 10D, 5D, 0D, 5D)) AS c, polygon_perimeter(array(0D, 0D, 10D, 0D, 10D, 5D, 0D, 5D)) AS d,
+        cosine_distance(array(1D, 0D), array(0D, 1D)) AS e, list_cell('a; b') AS f, safe_name('x y') AS g, mask_iou(array(0D, 0D, 9D, 0D, 9D, 9D), array(0D, 0D, 9D, 0D, 9D, 9D)) AS h""").first()
+    assert r[:] == ("0003", "0030", 50.0, 30.0, 1.0, ["a", "b"], "feat_x_y", 1.0) and "genus" in names
+
+
+def test_prior_divergence(spark):
+    s = "species_id string, class_id int, presence double, area double"
+    a = spark.createDataFrame([("s", 1, 0.5, 0.1), ("s", 2, 1.0, 0.2)], s)
+    b = spark.createDataFrame([("s", 1, 0.25, 0.1), ("t", 1, 1.0, 0.0)], s)
+    assert {r["species_id"]: r["presence_l1"] for r in E.prior_divergence(a, b).collect()} == {"s": 1.25, "t": 1.0}

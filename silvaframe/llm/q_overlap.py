@@ -56,41 +56,48 @@ def _side(spark: SparkSession, sf: str, names: tuple[str, ...]) -> DataFrame:
         key = photo_key(F.col("image_path"))
         t = t.select("record_id", F.lit(n).alias("split"), key.alias("path_key"), F.array(*[F.col(f"count_feat_{c}") for c in CLASSES]).alias("counts"), F.array(*[F.col(f"area_feat_{c}") for c in CLASSES]).alias("areas"))
         out = t if out is None else out.unionByName(t)
-    return out.where("record_id is not null")
+    return R.written(out.where("record_id is not null").distinct(), "side")  # the wide tables are read once
 
 
 def _path_docs(side: DataFrame) -> DataFrame:
-    """record_id, seq_id, tokens: the characters of the path key."""
-    t = side.where("path_key is not null").select("record_id", F.col("path_key"), F.xxhash64("path_key").alias("seq_id"))
-    return t.withColumn("tokens", F.transform(F.split("path_key", "(?!^)"), lambda c: F.ascii(c)))
+    """record_id, seq_id, path_key."""
+    return side.where("path_key is not null").select("record_id", "path_key", F.xxhash64("path_key").alias("seq_id"))
+
+
+def _path_seqs(docs: DataFrame) -> DataFrame:
+    """seq_id, tokens of the distinct path keys: their characters."""
+    t = docs.select("seq_id", "path_key").distinct()
+    return R.written(t.select("seq_id", F.transform(F.split("path_key", "(?!^)"), lambda c: F.ascii(c)).alias("tokens")), "paths")
 
 
 def _trait_docs(side: DataFrame) -> DataFrame:
-    """record_id, seq_id, tokens, cells: a token per class and count; cells of ln(area) of the two leading classes."""
+    """record_id, seq_id, counts, areas, and the cells of ln(area) of the two leading classes."""
     known = ~F.exists("counts", lambda x: x.isNull()) & ~F.exists("areas", lambda x: x.isNull() | F.isnan(x))
-    t = side.where(known & F.exists("counts", lambda x: x > 0))
-    t = t.withColumn("tokens", F.transform("counts", lambda c, i: (c * 16 + i).cast("int"))).withColumn("seq_id", F.xxhash64("counts"))
+    t = side.where(known & F.exists("counts", lambda x: x > 0)).withColumn("seq_id", F.xxhash64("counts"))
     # the classes with the most instances, the same for all records with these counts
     order = F.array_sort(F.transform("counts", lambda c, i: F.struct((-c).alias("c"), i.alias("i"))))
-    cell = lambda n: F.floor(F.log(F.when(F.get("areas", F.get(order, F.lit(n))["i"]) > 0, F.get("areas", F.get(order, F.lit(n))["i"])).otherwise(F.lit(1e-300))) / F.lit(AREA_CELL)).cast("int")
-    return t.select("record_id", "seq_id", "tokens", "counts", "areas", cell(0).alias("c0"), cell(1).alias("c1"))
+    t = t.select("record_id", "seq_id", "counts", "areas", F.slice(order, 1, 2).alias("lead"))
+    area = lambda n: F.get("areas", F.col("lead")[n]["i"])
+    cell = lambda n: F.floor(F.log(F.when(area(n) > 0, area(n)).otherwise(F.lit(1e-300))) / F.lit(AREA_CELL)).cast("int")
+    return t.select("record_id", "seq_id", "counts", "areas", cell(0).alias("c0"), cell(1).alias("c1"))
 
 
-def _distinct(docs: DataFrame) -> DataFrame:
-    """The distinct sequences; equal keys hold equal tokens."""
-    return docs.groupBy("seq_id").agg(F.first("tokens").alias("tokens"))
+def _trait_seqs(docs: DataFrame) -> DataFrame:
+    """seq_id, tokens of the distinct count vectors: a token per class and count."""
+    t = docs.select("seq_id", F.concat_ws(" ", F.transform("counts", lambda c: c.cast("string"))).alias("k")).distinct()
+    return R.written(t.select("seq_id", F.transform(F.split("k", " "), lambda c, i: (c.cast("int") * 16 + i).cast("int")).alias("tokens")), "vectors")
 
 
 def _pairs(train: DataFrame, held: DataFrame) -> DataFrame:
     """(record_a of train, record_b of val or test, rule)."""
     pa, pb = _path_docs(train), _path_docs(held)
-    same = overlaps(_distinct(pa), _distinct(pb), PATH_K, PATH_W, 1.0).where("cover_a = 1 and cover_b = 1 and seq_a = seq_b").select("seq_a")
+    same = overlaps(_path_seqs(pa), _path_seqs(pb), PATH_K, PATH_W, 1.0).where("cover_a = 1 and cover_b = 1 and seq_a = seq_b").select("seq_a")
     left = pa.join(same, pa["seq_id"] == same["seq_a"], "left_semi").select("seq_id", "path_key", F.col("record_id").alias("ra"))
     right = pb.select("seq_id", F.col("path_key").alias("kb"), F.col("record_id").alias("rb"))
     by_path = left.join(right, "seq_id").where("path_key = kb").select("ra", "rb", F.lit("path").alias("rule"))
 
     ta, tb = _trait_docs(train), _trait_docs(held)
-    same = overlaps(_distinct(ta), _distinct(tb), TRAIT_K, TRAIT_W, 1.0).where("cover_a = 1 and cover_b = 1 and seq_a = seq_b").select("seq_a")
+    same = overlaps(_trait_seqs(ta), _trait_seqs(tb), TRAIT_K, TRAIT_W, 1.0).where("cover_a = 1 and cover_b = 1 and seq_a = seq_b").select("seq_a")
     left = ta.join(same, ta["seq_id"] == same["seq_a"], "left_semi").select("seq_id", "c0", "c1", F.col("record_id").alias("ra"), F.col("counts").alias("na"), F.col("areas").alias("aa"))
     near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
     right = tb.select("seq_id", near("c0"), "c1", "record_id", "counts", "areas")
@@ -116,6 +123,21 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("share", F.round(F.col("overlapping") / F.col("records"), 6))
 
 
+def p2_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Per record of val and test how much of its path key and of its trait vector the best record of train covers.
+
+    Coverages from 0.8 on count; null means that no record of train comes so close.
+    """
+    tr, held = _side(spark, sf, ("train",)), _side(spark, sf, ("val", "test"))
+    pb, tb = _path_docs(held), _trait_docs(held)
+    best = lambda o: o.groupBy(F.col("seq_b").alias("_s")).agg(F.max("cover_b").alias("c"))
+    by_path = best(overlaps(_path_seqs(_path_docs(tr)), _path_seqs(pb), PATH_K, PATH_W, 0.8))
+    by_trait = best(overlaps(_trait_seqs(_trait_docs(tr)), _trait_seqs(tb), TRAIT_K, TRAIT_W, 0.8))
+    per = lambda docs, b, n: docs.select("record_id", "seq_id").join(b, F.col("seq_id") == F.col("_s")).select("record_id", F.round("c", 6).alias(n)).distinct()
+    t = held.select("record_id", "split", F.coalesce(F.substring_index("path_key", "/", 1), F.lit("")).alias("lot")).distinct()
+    return t.join(per(pb, by_path, "cover_path"), "record_id", "left").join(per(tb, by_trait, "cover_traits"), "record_id", "left")
+
+
 _CNT = "[" + ", ".join(f"count_feat_{c}" for c in CLASSES) + "]"
 _ARE = "[" + ", ".join(f"area_feat_{c}" for c in CLASSES) + "]"
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '(\\p{{L}})(\\p{{N}})', '\\1-\\2', 'g'), '(\\p{{N}})(\\p{{L}})', '\\1-\\2', 'g'), '(^|[^\\p{{N}}])0+(\\p{{N}})', '\\1\\2', 'g'), '^-+|-+$', '', 'g')"
@@ -133,7 +155,7 @@ pr AS (
   WHERE x.split = 'train' AND y.split <> 'train' AND list_max(x.n) > 0
     AND len(list_filter(list_zip(x.a, y.a), lambda z: abs(z[1] - z[2]) > 0.01 * greatest(z[1], z[2]))) = 0)
 """
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_coverage": p2_coverage}
 SQL = {
     "p2_found": _BASE + "SELECT DISTINCT least(ra, rb) AS record_a, greatest(ra, rb) AS record_b FROM pr",
     "p2_report": _BASE

@@ -16,8 +16,8 @@ spreads a hot basket over ``blocks * blocks`` tasks.
 
 Defined cases.  Rows with a null basket or a null item are ignored (a basket left
 without items does not count).  Doubled rows count once.  A basket has one
-group: the least non-null one among its rows; baskets whose group is null count
-only in ``all``.  An empty table gives empty results.  Extra columns are ignored.
+group: the least non-null ``grp`` among its rows or, without any, the least ``weak``;
+baskets without a group count only in ``all``.  An empty table gives empty results.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class PairTable:
         self.path = path or R.scratch(spark, "pairs")
         s, f = T.StructType, T.StructField
         self.schemas = {
-            "baskets": s([f("basket", basket), f("grp", T.StringType()), f("items", T.ArrayType(item))]),
+            "baskets": s([f("basket", basket), f("grp", T.StringType()), f("weak", T.StringType()), f("items", T.ArrayType(item))]),
             "counts": s([f("grp", T.StringType()), f("a", item), f("b", item), f("n", T.LongType())]),
         }
         self.version, self.live = 0, {t: {} for t in self.schemas}  # table -> bucket -> folder
@@ -100,7 +100,7 @@ class PairTable:
 
     # -- change --------------------------------------------------------------
     def apply(self, rows: DataFrame, replace: bool = False) -> "PairTable":
-        """Merge a batch with the columns basket, grp, item.
+        """Merge a batch with the columns basket, grp, item and, optionally, weak: the group where no row has a ``grp``.
 
         ``replace`` says that the batch holds the *whole* new content of its
         baskets (a row with a null item empties one); otherwise items are added.
@@ -109,17 +109,21 @@ class PairTable:
         rows = rows.where(F.col("basket").isNotNull())
         if not replace:
             rows = rows.where(F.col("item").isNotNull())
-        new = rows.groupBy("basket").agg(F.min("grp").alias("grp"), F.collect_set("item").alias("items"))
+        if "weak" not in rows.columns:
+            rows = rows.withColumn("weak", F.lit(None).cast("string"))
+        none = F.array().cast(self.schemas["baskets"]["items"].dataType)
+        new = rows.groupBy("basket").agg(F.min("grp").alias("grp"), F.min("weak").alias("weak"), F.collect_set("item").alias("items"))
         new = new.withColumn("bucket", self._bucket("basket"))
         first = not self.live["baskets"]
         if first:
-            change = new.select("bucket", "basket", F.lit(None).cast("string").alias("old_grp"), F.lit(None).cast(self.schemas["baskets"]["items"].dataType).alias("old_items"), "grp", F.array_sort("items").alias("items"))
+            change = new.select("bucket", "basket", F.lit(None).cast("string").alias("old_grp"), none.alias("old_items"), "grp", "weak", F.array_sort("items").alias("items"))
         else:
-            old = self._read("baskets").select(F.col("basket").alias("_k"), F.col("grp").alias("old_grp"), F.col("items").alias("old_items"))
-            items = F.col("items") if replace else F.array_union(F.coalesce("old_items", F.array().cast(self.schemas["baskets"]["items"].dataType)), "items")
-            grp = F.col("grp") if replace else F.least(F.col("grp"), F.col("old_grp"))  # least() skips nulls
-            change = new.join(old, F.col("basket") == F.col("_k"), "left").select("bucket", "basket", "old_grp", "old_items", grp.alias("grp"), F.array_sort(items).alias("items"))
-            change = change.where(~(F.col("items").eqNullSafe(F.col("old_items")) & F.col("grp").eqNullSafe(F.col("old_grp"))))
+            old = self._read("baskets").select(F.col("basket").alias("_k"), F.col("grp").alias("_g"), F.col("weak").alias("_w"), F.coalesce("items", none).alias("old_items"))
+            t = new.join(old, F.col("basket") == F.col("_k"), "left")
+            join = (lambda n, o: F.col(n)) if replace else (lambda n, o: F.least(F.col(n), F.col(o)))  # least() skips nulls
+            items = F.col("items") if replace else F.array_union(F.coalesce("old_items", none), "items")
+            change = t.select("bucket", "basket", F.coalesce("_g", "_w").alias("old_grp"), F.coalesce("old_items", none).alias("old_items"), join("grp", "_g").alias("grp"), join("weak", "_w").alias("weak"), F.array_sort(items).alias("items"))
+            change = change.where(~(F.col("items").eqNullSafe(F.col("old_items")) & F.coalesce("grp", "weak").eqNullSafe(F.col("old_grp"))))
         log, touched = self._write(change, "changes")
         if not touched:
             return self
@@ -128,7 +132,7 @@ class PairTable:
             self._swap("baskets", log, touched, touched)  # the log has the baskets' columns
         else:
             kept = self._read("baskets", touched).join(change.select("basket"), "basket", "left_anti")
-            whole = kept.unionByName(change.where(F.size("items") > 0).select("basket", "grp", "items"))
+            whole = kept.unionByName(change.where(F.size("items") > 0).select("basket", "grp", "weak", "items"))
             path, wrote = self._write(whole.withColumn("bucket", self._bucket("basket")), "baskets")
             self._swap("baskets", path, wrote, touched)
         self._merge(self._deltas(change))
@@ -138,7 +142,7 @@ class PairTable:
     def _deltas(self, change: DataFrame) -> DataFrame:
         """Signed changes of totals, marginals and pairs, summed."""
         signed = change.select("basket", F.col("old_grp").alias("grp"), F.col("old_items").alias("items"), F.lit(-1).cast("long").alias("d")).where(F.size("items") > 0)
-        signed = signed.unionByName(change.select("basket", "grp", "items", F.lit(1).cast("long").alias("d")).where(F.size("items") > 0))
+        signed = signed.unionByName(change.select("basket", F.coalesce("grp", "weak").alias("grp"), "items", F.lit(1).cast("long").alias("d")).where(F.size("items") > 0))
         none = F.array(F.lit(None).cast(self.schemas["counts"]["a"].dataType))
         narrow = F.size("items") <= self.wide
         own = signed.select("grp", "d", "items", narrow.alias("narrow"), F.posexplode(F.concat(none, "items")).alias("i", "a"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.species import species_of
+from ..functions.species import absent, four_digits, id_number, name_prefix
 from .pairs import PairTable, strong
 
 #: Rows that came in later than this after the annotation form the second, incremental batch.
@@ -17,7 +17,9 @@ def build(spark: SparkSession, sf: str) -> PairTable:
     """Images as baskets of trait classes, in two batches: rows in time, then late ones."""
     t = spark.read.parquet(f"{sf}/per_annotation_features.parquet")
     ok = F.col("category_id").between(1, 14)
-    rows = t.where(ok).select(F.col("image_id").alias("basket"), species_of(F.col("species_id"), F.col("image_name")).alias("grp"), F.col("category_id").alias("item"))
+    own = F.when(~absent(F.col("species_id")), four_digits(id_number(F.col("species_id"))))
+    prefix = four_digits(name_prefix(F.col("image_name")))
+    rows = t.where(ok).select(F.col("image_id").alias("basket"), own.alias("grp"), prefix.alias("weak"), F.col("category_id").alias("item"))
     late = F.coalesce(F.expr(f"ingested_at > annotated_at + {LATE}"), F.lit(False))
     state = PairTable(spark, T.LongType(), T.IntegerType())
     return state.apply(rows.where(~late)).apply(rows.where(late))
@@ -40,9 +42,8 @@ WITH r AS (
     CASE WHEN species_id IS NULL OR lower(trim(species_id)) IN ('', 'nan') THEN NULL
          ELSE try_cast(nullif(regexp_extract(trim(species_id), '^0*(\d+?)(?:\.0*)?$', 1), '') AS BIGINT) END AS own
   FROM per_annotation_features WHERE category_id BETWEEN 1 AND 14 AND image_id IS NOT NULL),
-img AS (SELECT image_id, min(CASE WHEN coalesce(own, pre) IS NULL THEN NULL
-          WHEN coalesce(own, pre) > 999 THEN CAST(coalesce(own, pre) AS VARCHAR)
-          ELSE lpad(CAST(coalesce(own, pre) AS VARCHAR), 4, '0') END) AS sp FROM r GROUP BY 1),
+nr AS (SELECT image_id, coalesce(min(own), min(pre)) AS sp FROM r GROUP BY 1),
+img AS (SELECT image_id, CASE WHEN sp > 999 THEN CAST(sp AS VARCHAR) ELSE lpad(CAST(sp AS VARCHAR), 4, '0') END AS sp FROM nr),
 c AS (SELECT DISTINCT r.image_id, img.sp, r.category_id AS cat FROM r JOIN img USING (image_id)),
 g AS (SELECT image_id, sp AS grp, cat FROM c WHERE sp IS NOT NULL UNION ALL SELECT image_id, 'all', cat FROM c),
 n AS (SELECT grp, count(DISTINCT image_id) AS n FROM g GROUP BY 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.species import species_of
+from ..functions.species import absent, four_digits, id_number, name_prefix
 from .. import runtime as R
 from . import sampling as S
 
@@ -19,8 +19,10 @@ def photos(spark: SparkSession, sf: str) -> DataFrame:
     mask = sum((F.when(F.col(f"count_feat_{c}") > 0, 1 << i).otherwise(0) for i, c in enumerate(CLASSES)), F.lit(0))
     t = t.where(F.col("image_path").isNotNull())
     name = F.coalesce(F.col("image_name"), F.col("image_path"))
-    t = t.select(F.translate("image_path", "\\", "/").alias("key"), species_of(F.col("species_id"), name).alias("grp"), mask.cast("int").alias("mask"))
-    return t.groupBy("key").agg(F.min("grp").alias("grp"), F.bit_or("mask").alias("mask"))
+    own = F.when(~absent(F.col("species_id")), id_number(F.col("species_id")))
+    t = t.select(F.translate("image_path", "\\", "/").alias("key"), own.alias("own"), name_prefix(name).alias("prefix"), mask.cast("int").alias("mask"))
+    species = four_digits(F.coalesce(F.min("own"), F.min("prefix")))
+    return t.groupBy("key").agg(species.alias("grp"), F.bit_or("mask").alias("mask"))
 
 
 def targets(spark: SparkSession, sf: str) -> list[S.Target]:
@@ -81,9 +83,10 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 _OWN = r"CASE WHEN species_id IS NULL OR lower(trim(species_id)) IN ('', 'nan') THEN NULL ELSE try_cast(nullif(regexp_extract(trim(species_id), '^0*(\d+?)(?:\.0*)?$', 1), '') AS BIGINT) END"
 _PRE = r"try_cast(nullif(regexp_extract(trim(regexp_extract(coalesce(image_name, image_path), '([^/\\]*)$', 1)), '^(\d+)\s*[-_]', 1), '') AS BIGINT)"
 _BASE = rf"""
-WITH r AS (SELECT replace(image_path, '\', '/') AS key, coalesce({_OWN}, {_PRE}) AS sp, {", ".join(f"count_feat_{c} AS c{i}" for i, c in enumerate(CLASSES))}
+WITH r AS (SELECT replace(image_path, '\', '/') AS key, {_OWN} AS own, {_PRE} AS pre, {", ".join(f"count_feat_{c} AS c{i}" for i, c in enumerate(CLASSES))}
            FROM relative_feature_vectors WHERE image_path IS NOT NULL),
-p AS (SELECT key, min(lpad(CAST(sp AS VARCHAR), CAST(greatest(4, length(CAST(sp AS VARCHAR))) AS INT), '0')) AS sp, {", ".join(f"max(c{i}) AS c{i}" for i in range(14))} FROM r GROUP BY key),
+q AS (SELECT key, coalesce(min(own), min(pre)) AS sp, {", ".join(f"max(c{i}) AS c{i}" for i in range(14))} FROM r GROUP BY key),
+p AS (SELECT * REPLACE (lpad(CAST(sp AS VARCHAR), CAST(greatest(4, length(CAST(sp AS VARCHAR))) AS INT), '0') AS sp) FROM q),
 n AS (SELECT sp, count(*) AS n FROM p GROUP BY 1),
 k AS ({" UNION ALL ".join(f"SELECT 'feat_{c}' AS cls, count(*) FILTER (c{i} > 0) AS n FROM p" for i, c in enumerate(CLASSES))}),
 w AS (SELECT DISTINCT split, 'species' AS category_kind, species_id AS category_key,

@@ -73,6 +73,15 @@ def test_hot_group_and_duplicates(spark):
     assert strong(table.scores(), 8).where("grp = 'hot' and a = 1 and b = 2").count() == 0  # chance itself
 
 
+def test_own_group_comes_before_the_weak_one(spark):
+    row = "basket long, grp string, weak string, item int"
+    table = PairTable(spark, T.LongType(), T.IntegerType())
+    table.apply(spark.createDataFrame([(1, None, "a", 1), (1, None, "a", 2), (2, "z", "a", 1), (2, None, "a", 2)], row))
+    assert set(got(table)) == {("a", 1, 2), ("z", 1, 2), ("all", 1, 2)}
+    table.apply(spark.createDataFrame([(1, "z", "a", 2)], row))
+    assert got(table) == {("z", 1, 2): (2, 2, 2, 2), ("all", 1, 2): (2, 2, 2, 2)}
+
+
 def test_empty(spark):
     table = PairTable(spark, T.LongType(), T.IntegerType()).apply(spark.createDataFrame([], ROW))
     assert got(table) == {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -97,6 +99,77 @@ def rle_mask(counts, height: int, width: int) -> np.ndarray:
     return np.pad(flat, (0, height * width - len(flat))).reshape(width, height).T
 
 
+def outlines(mask: np.ndarray, least: float = 4.0, eps: float = 1.0) -> list[list[float]]:
+    """FN-34: outer outlines of a mask's regions as flat polygons, simplified by ``eps``; smaller ones than ``least`` pixels are dropped.
+
+    The sides between set and unset pixels are directed with the region on their right and
+    linked to loops; outer loops turn one way, holes the other.
+    """
+    m = np.pad(mask.astype(bool), 1)
+    nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for dy, dx, a, b in ((-1, 0, (0, 0), (0, 1)), (0, 1, (0, 1), (1, 1)), (1, 0, (1, 1), (1, 0)), (0, -1, (1, 0), (0, 0))):
+        for y, x in zip(*np.nonzero(m & ~np.roll(m, (-dy, -dx), (0, 1))), strict=True):
+            nxt.setdefault((y + a[0] - 1, x + a[1] - 1), []).append((y + b[0] - 1, x + b[1] - 1))
+    out = []
+    while nxt:
+        start = min(nxt)
+        loop, at, came = [start], start, None
+        while True:
+            ways = nxt[at]
+            pick = 0
+            if len(ways) > 1 and came is not None:  # where two corners touch, turn right: regions stay apart
+                d = (at[0] - came[0], at[1] - came[1])
+                pick = next((i for i, w in enumerate(ways) if (w[0] - at[0], w[1] - at[1]) == (d[1], -d[0])), 0)
+            came, at_next = at, ways.pop(pick)
+            if not ways:
+                del nxt[at]
+            at = at_next
+            if at == start:
+                break
+            loop.append(at)
+        p = np.array(loop, float)[:, ::-1]
+        q = np.roll(p, -1, axis=0)
+        area = 0.5 * (p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum()
+        if area >= least:  # holes have the other sign
+            out.append(_simplified(p, eps).ravel().tolist())
+    return out
+
+
+def _simplified(p: np.ndarray, eps: float) -> np.ndarray:
+    """A closed outline without vertices that are within ``eps`` of the chord between kept ones; at least three stay."""
+    far = int(np.linalg.norm(p - p[0], axis=1).argmax())
+    keep = {0, far}
+    stack = [(0, far), (far, len(p))]
+    ring = np.concatenate([p, p[:1]])
+    while stack:
+        i, j = stack.pop()
+        if j - i < 2:
+            continue
+        chord = ring[j] - ring[i]
+        between = ring[i + 1 : j] - ring[i]
+        n = np.linalg.norm(chord)
+        d = np.abs(between[:, 0] * chord[1] - between[:, 1] * chord[0]) / n if n > 0 else np.linalg.norm(between, axis=1)
+        k = int(d.argmax())
+        if d[k] > eps:
+            keep.add(i + 1 + k)
+            stack += [(i, i + 1 + k), (i + 1 + k, j)]
+    return p[sorted(keep)] if len(keep) > 2 else p
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def rle_parts(payload: pd.Series) -> pd.Series:
+    """FN-34 on a column of run-length objects as JSON text; other text and broken objects have no parts."""
+
+    def parts(text: str | None) -> list:
+        try:
+            o = json.loads(text or "null")
+            return outlines(rle_mask(o["counts"], *map(int, o["size"])))
+        except (ValueError, KeyError, TypeError, IndexError):
+            return []
+
+    return payload.map(parts)
+
+
 @F.pandas_udf(T.DoubleType())
 def mask_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     """``iou`` on columns."""

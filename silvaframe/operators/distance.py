@@ -44,7 +44,8 @@ def combined(blocks: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:
     """DV-4: weighted mean of the blocks' cosine distances, with each block's own (d_name)."""
     out, total = None, sum(w for _, w in blocks.values())
     for name, (sig, _) in blocks.items():
-        m = matrix(sig, key, V.cosine_distance).withColumnRenamed("d", f"d_{name}")
+        # unit vectors once per label, so that a pair costs one dot product
+        m = matrix(sig.select(key, unit(F.col("v")).alias("v")), key, unit_distance).withColumnRenamed("d", f"d_{name}")
         out = m if out is None else out.join(m, ["a", "b"])
     d = sum((F.col(f"d_{n}") * F.lit(w / total) for n, (_, w) in blocks.items()), F.lit(0.0))
     return out.withColumn("d", d)
@@ -60,6 +61,11 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
+def unit_distance(a: Column, b: Column) -> Column:
+    """DV-1 of unit (or zero) vectors."""
+    return 1 - F.least(F.lit(1.0), F.greatest(F.lit(-1.0), V.dot(a, b)))
+
+
 def group_sums(points: DataFrame, group: str) -> DataFrame:
     """Per group: n, non-zero vectors, and the sum of unit vectors.  ``points``: group, v."""
     t = points.select(group, unit(F.col("v")).alias("u"))

@@ -140,3 +140,30 @@ def test_run_lengths():
     m = raster.rle_mask([2, 3, 1], 2, 3)
     assert m.tolist() == [[False, True, True], [False, True, False]]
     assert raster.cells(RECT, 100, 50, 10) and raster.cells(None, 1, 1) == []
+
+
+def test_outlines_of_masks():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        m = rng.random((9, 11)) < 0.6
+        parts = raster.outlines(m, least=0, eps=0)
+        back = np.zeros_like(m)
+        for p in parts:  # pixel centres inside of an outer outline
+            q = np.array(p).reshape(-1, 2)
+            for y, x in np.ndindex(m.shape):
+                n = 0
+                for (xa, ya), (xb, yb) in zip(q, np.roll(q, -1, 0), strict=True):
+                    if (ya <= y + 0.5) != (yb <= y + 0.5):
+                        n += xa + (y + 0.5 - ya) * (xb - xa) / (yb - ya) > x + 0.5
+                back[y, x] |= n % 2 == 1
+        assert (back | ~m).all()  # every set pixel lies in an outline
+    square = np.zeros((10, 10), bool)
+    square[2:7, 3:8] = True
+    square[0, 0] = True
+    assert raster.outlines(square) == [[3.0, 2.0, 8.0, 2.0, 8.0, 7.0, 3.0, 7.0]]
+
+
+def test_run_length_objects_on_a_column(spark):
+    t = spark.createDataFrame([('{"counts": [0, 25], "size": [5, 5]}',), ('{"counts": 3}',), ("x",), (None,), ('{"counts": "05", "size": [1, 5]}',)], "s string")
+    got = [r[0] for r in t.select(raster.rle_parts("s")).collect()]
+    assert got[0] == [[0, 0, 5, 0, 5, 5, 0, 5]] and got[1:4] == [[], [], []]

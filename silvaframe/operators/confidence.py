@@ -41,12 +41,12 @@ def spread(pred: DataFrame, m: DataFrame, baseline: tuple[float, float] | None =
 
     ``baseline`` (mean, deviation of random candidates) adds z and coherence.
     """
-    a = pred.select("image_id", F.col("rank").alias("ra"), F.col("species").alias("a"), F.col("prob").alias("pa"))
-    b = pred.select(F.col("image_id").alias("_i"), F.col("rank").alias("rb"), F.col("species").alias("b"), F.col("prob").alias("pb"))
-    p = a.join(b, (F.col("image_id") == F.col("_i")) & (F.col("ra") < F.col("rb"))).join(symmetric(m), ["a", "b"])
-    w = F.col("pa") * F.col("pb")
-    s = p.groupBy("image_id").agg(F.try_divide(F.sum(w * F.col("d")), F.sum(w)).alias("spread"))
-    out = pred.select("image_id").distinct().join(s, "image_id", "left")
+    t = pred.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "species", "prob"))).alias("p"))  # k entries
+    t = t.select("image_id", "p", F.posexplode("p").alias("i", "x"))
+    t = t.select("image_id", "x", F.explode_outer(F.slice("p", F.col("i") + 2, F.size("p"))).alias("y"))
+    t = t.join(symmetric(m), (F.col("x.species") == F.col("a")) & (F.col("y.species") == F.col("b")), "left")
+    w = F.when(F.col("d").isNotNull(), F.col("x.prob") * F.col("y.prob"))
+    out = t.groupBy("image_id").agg(F.try_divide(F.sum(w * F.col("d")), F.sum(w)).alias("spread"))
     if baseline:
         mean, sd = baseline
         out = out.withColumns({"z": (F.lit(mean) - F.col("spread")) / F.lit(sd), "coherence": 1 - F.try_divide(F.col("spread"), F.lit(mean))})
@@ -58,12 +58,12 @@ def expected_distance(pred: DataFrame, truth: DataFrame, m: DataFrame) -> DataFr
 
     ``calibrated`` is (mean of the row - expected) / population deviation of the row.
     """
-    labels = m.select(F.col("a").alias("x")).union(m.select("b")).distinct()
-    full = symmetric(m).unionByName(labels.select(F.col("x").alias("a"), F.col("x").alias("b"), F.lit(0.0).alias("d")))
-    row = symmetric(m).groupBy("a").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"))
-    t = pred.join(truth, "image_id").join(full, (F.col("true_species") == F.col("a")) & (F.col("species") == F.col("b")))
-    e = t.groupBy("image_id", "true_species").agg(F.try_divide(F.sum(F.col("prob") * F.col("d")), F.sum("prob")).alias("expected"))
-    e = e.join(row, F.col("true_species") == F.col("a"), "left")
+    sym = symmetric(m)
+    row = sym.groupBy(F.col("a").alias("_l")).agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"))
+    t = pred.join(truth, "image_id").join(row, F.col("true_species") == F.col("_l")).join(sym, (F.col("true_species") == F.col("a")) & (F.col("species") == F.col("b")), "left")
+    d = F.when(F.col("species") == F.col("true_species"), 0.0).otherwise(F.col("d"))
+    t = t.withColumn("_d", d).where("_d is not null")
+    e = t.groupBy("image_id", "true_species").agg(F.try_divide(F.sum(F.col("prob") * F.col("_d")), F.sum("prob")).alias("expected"), F.first("mean").alias("mean"), F.first("sd").alias("sd"))
     return e.select("image_id", "true_species", "expected", F.try_divide(F.col("mean") - F.col("expected"), F.nullif("sd", F.lit(0.0))).alias("calibrated"))
 
 

@@ -52,8 +52,9 @@ def combined(blocks: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:
 
 
 def symmetric(m: DataFrame) -> DataFrame:
-    """Both orders of every pair."""
-    return m.select("a", "b", "d").unionByName(m.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    """Both orders of every pair, from one pass over the matrix."""
+    both = F.array(F.struct("a", "b", "d"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    return m.select(F.inline(both))
 
 
 def unit(v: Column) -> Column:

@@ -9,9 +9,14 @@ so nothing is crossed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import runtime as R
+
 SHAPES = ("log_area", "sphericity", "log_aspect", "log_elong", "bbox_extent")
 
 
@@ -84,12 +89,12 @@ def trait_scores(images: DataFrame, annotations: DataFrame, classes: list[int],
     wl, ws, wg = weights
     im = images.select("image_id", "species_id")
     n = annotations.join(im, "image_id").groupBy("image_id", "species_id", "class_id").agg(F.count(F.lit(1)).alias("n"))
-    per_image = n.groupBy("image_id").agg(F.sum("n").alias("of_image"))
+    # the rows lie by image, so the image's sum needs no shuffle; written once, as three sums and the scores read it
+    n = R.written(n.withColumn("of_image", F.sum("n").over(W.partitionBy("image_id"))), "counts")
     per_species = n.groupBy("species_id", "class_id").agg(F.sum("n").alias("of_species"))
     per_class = per_species.groupBy("class_id").agg(F.sum("of_species").alias("of_class"))
     size = im.groupBy("species_id").agg(F.least(F.lit(1.0), F.count(F.lit(1)) / F.lit(float(full))).alias("reliability"))
-    t = n.join(per_image, "image_id")
-    t = t.join(per_species.select(F.col("species_id").alias("_s"), F.col("class_id").alias("_c"), "of_species"), F.col("species_id").eqNullSafe(F.col("_s")) & (F.col("class_id") == F.col("_c"))).drop("_s", "_c")
+    t = n.join(per_species.select(F.col("species_id").alias("_s"), F.col("class_id").alias("_c"), "of_species"), F.col("species_id").eqNullSafe(F.col("_s")) & (F.col("class_id") == F.col("_c"))).drop("_s", "_c")
     t = t.join(per_class, "class_id").join(size.withColumnRenamed("species_id", "_s"), F.col("species_id").eqNullSafe(F.col("_s"))).drop("_s")
     local, sp, gl = F.col("n") / F.col("of_image"), F.col("n") / F.col("of_species"), F.col("n") / F.col("of_class")
     score = wl * local + ws * F.col("reliability") * sp + (wg + ws * (1 - F.col("reliability"))) * gl
@@ -136,6 +141,7 @@ def signature_b3(annotations: DataFrame, images: DataFrame) -> DataFrame:
     p = p.groupBy("species_id", "image_id").agg(F.array_sort(F.collect_set("class_id")).alias("c"))  # at most one entry per class
     a = p.select("species_id", "c", F.posexplode("c").alias("i", "a"))
     both = a.select("species_id", "a", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("b")).groupBy("species_id", "a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    both = R.written(both, "both")  # pairs per species; read three times
     one = both.where("a = b").select("species_id", F.col("a").alias("x"), F.col("n_both").alias("n_x"))
     t = both.join(one.select("species_id", F.col("x").alias("a"), F.col("n_x").alias("na")), ["species_id", "a"])
     t = t.join(one.select("species_id", F.col("x").alias("b"), F.col("n_x").alias("nb")), ["species_id", "b"])
@@ -143,32 +149,32 @@ def signature_b3(annotations: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def spatial_pairs(polys: DataFrame) -> DataFrame:
-    """J-6: all ordered pairs of annotations of an image; an image's only annotation is paired with itself.
+    """J-6: all ordered pairs of annotations of an image, with the distance of their centres over the image's diagonal.
 
     ``polys``: image_id, annotation_id, class_id, cx, cy, box, diagonal.
     """
-    n = polys.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
-    t = polys.join(n, "image_id")
-    a = t.select("image_id", "_n", "diagonal", *[F.col(c).alias(f"a_{c}") for c in ("annotation_id", "class_id", "cx", "cy", "box")])
-    b = t.select(F.col("image_id").alias("_i"), *[F.col(c).alias(f"b_{c}") for c in ("annotation_id", "class_id", "cx", "cy", "box")])
-    p = a.join(b, F.col("image_id") == F.col("_i")).where("a_annotation_id <> b_annotation_id").drop("_i")
-    d = F.sqrt(F.pow(F.col("a_cx") - F.col("b_cx"), 2) + F.pow(F.col("a_cy") - F.col("b_cy"), 2)) / F.col("diagonal")
-    return p.withColumn("d", d)
+    cols = ("annotation_id", "class_id", "cx", "cy", "box")
+    a = polys.select("image_id", "diagonal", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = polys.select(F.col("image_id").alias("_i"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    p = a.join(b, (F.col("image_id") == F.col("_i")) & (F.col("a_annotation_id") != F.col("b_annotation_id"))).drop("_i")
+    return p.withColumn("d", F.sqrt(F.pow(F.col("a_cx") - F.col("b_cx"), 2) + F.pow(F.col("a_cy") - F.col("b_cy"), 2)) / F.col("diagonal"))
 
 
-def spatial_b4(polys: DataFrame, q: float, iou, containment, per: dict[str, Column] | None = None) -> DataFrame:
+def spatial_b4(polys: DataFrame, q: float, iou: Callable[[Column, Column], Column], containment: Callable[[Column, Column], Column]) -> DataFrame:
     """AG-11 long: per image and ordered class pair the median distance over the image's, the share of close pairs, mean IoU and containment.
 
     Close means at most the image's ``q``-quantile of distances.  A class with a single
     annotation is at distance 0 from itself and close to itself.  Images with one
-    annotation have no row.
+    annotation have no row.  Everything lies by image, so the pair join is the only shuffle.
     """
-    p = spatial_pairs(polys)
-    ref = p.where("a_annotation_id < b_annotation_id").groupBy("image_id").agg(F.greatest(F.median("d"), F.lit(1e-12)).alias("med"), F.percentile("d", F.lit(q)).alias("near"))
-    p = p.join(ref, "image_id").withColumn("close", (F.round("d", 9) <= F.round("near", 9)).cast("double"))
-    p = p.withColumn("iou", iou(F.col("a_box"), F.col("b_box"))).withColumn("contain", containment(F.col("a_box"), F.col("b_box")))
+    image = W.partitionBy("image_id")
+    half = F.when(F.col("a_annotation_id") < F.col("b_annotation_id"), F.col("d"))
+    p = spatial_pairs(polys).withColumns({"med": F.greatest(F.percentile(half, F.lit(0.5)).over(image), F.lit(1e-12)), "near": F.percentile(half, F.lit(q)).over(image)})
+    p = p.withColumn("close", (F.round("d", 9) <= F.round("near", 9)).cast("double"))
+    p = p.withColumns({"iou": iou(F.col("a_box"), F.col("b_box")), "contain": containment(F.col("a_box"), F.col("b_box"))})
     t = p.groupBy("image_id", F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).agg((F.median("d") / F.max("med")).alias("reldist"), F.avg("close").alias("closefrac"), F.avg("iou").alias("iou"), F.avg("contain").alias("contain"))
-    single = polys.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(ref.select("image_id"), "image_id", "left_semi")
+    n = polys.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    single = n.withColumn("all", F.sum("n").over(image)).where("n = 1 and all > 1")
     one = F.lit(1.0)
     self_pair = single.select("image_id", F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(0.0).alias("reldist"), one.alias("closefrac"), one.alias("iou"), one.alias("contain"))
     return t.unionByName(self_pair)
@@ -177,6 +183,7 @@ def spatial_b4(polys: DataFrame, q: float, iou, containment, per: dict[str, Colu
 def species_b4(image_b4: DataFrame, images: DataFrame) -> DataFrame:
     """AG-12: means over a species' images with at least two annotations; an absent class pair counts 0."""
     im = images.select("image_id", "species_id").where("species_id is not null")
+    image_b4 = R.written(image_b4, "b4")
     n = image_b4.select("image_id").distinct().join(im, "image_id").groupBy("species_id").agg(F.count(F.lit(1)).alias("n"))
     cols = ("reldist", "closefrac", "iou", "contain")
     s = image_b4.join(im, "image_id").groupBy("species_id", "a", "b").agg(*[F.sum(c).alias(c) for c in cols])

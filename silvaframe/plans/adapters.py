@@ -31,7 +31,8 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
     """annotation_id, image_id, class_id and the shape measures (NaN as null), known classes only."""
     t = table(spark, sf, "per_annotation_features").where(F.col("category_id").between(1, 14) & F.col("image_id").isNotNull())
     clean = [F.when(~F.isnan(m), F.col(m)).alias(m) for m in MEASURES]
-    return t.select("annotation_id", "image_id", F.col("category_id").alias("class_id"), *clean).distinct()
+    # by image first: the removal of doubled rows and what follows per image share this one shuffle
+    return t.select("annotation_id", "image_id", F.col("category_id").alias("class_id"), *clean).repartition("image_id").distinct()
 
 
 def categories(spark: SparkSession) -> DataFrame:

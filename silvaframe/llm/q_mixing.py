@@ -20,7 +20,8 @@ def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, list[Plan], list]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     docs = docs.select("doc_id", "text", plain_source(F.col("source")).alias("source"))
     n = R.written(token_counts(docs, "doc_id", "text", extra=("source",)), "tokens")
-    weights = spark.read.parquet(f"{sf}/source_weights.parquet").orderBy("source").collect()  # a fixed number of rows
+    weights = spark.read.parquet(f"{sf}/source_weights.parquet").withColumn("source", plain_source(F.col("source")))
+    weights = weights.where("source is not null").orderBy("source").collect()  # a fixed number of rows
     targets = [(w["source"], w["target_share_bp"] * w["total_tokens"] // 10000, w["max_repeats"]) for w in weights]
     out, plans = mix(n, targets)
     return out, plans, weights

@@ -10,12 +10,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _OWN_DIR: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -104,6 +107,23 @@ def ranked(df: DataFrame, keys: list[str], order: str, rank: str = "rank", shard
     return t.join(n, cond).select(*df.columns, (F.col("_r") + F.col("_b")).cast("long").alias(rank))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it.
+
+    A cluster that has the package installed gets the same code once more, which does no harm.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="silvaframe-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
+
 def pick(df: DataFrame, **cols: str | Column) -> DataFrame:
     """Only the columns that are needed, under the operator's own names."""
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in cols.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import runtime as R
-from .overlap import overlaps
+from .overlap import closest, overlaps
 
 #: The trait classes, in the tables' order.
 CLASSES = ("5", "13", "22", "45", "61", "66", "72", "76", "77", "78", "93", "98", "vx", "rad")
@@ -19,6 +19,8 @@ CLASSES = ("5", "13", "22", "45", "61", "66", "72", "76", "77", "78", "93", "98"
 PATH_K, PATH_W = 16, 8
 #: 14 tokens make one window of three 12-grams: k + w - 1 = 14, so equal vectors always meet.
 TRAIT_K, TRAIT_W = 12, 3
+#: Near records, see ``overlap.closest``: of n tokens a fifth may differ, so an unchanged part has 3 or more; 4 of the 14 of a trait vector.
+NEAR_PATH_K, NEAR_TRAIT_K = 3, 4
 #: Areas that differ by at most 1 % of the larger lie in the same or in neighbouring cells of this width in ln(area).
 AREA_CELL = 0.01006
 
@@ -67,7 +69,7 @@ def _path_docs(side: DataFrame) -> DataFrame:
 def _path_seqs(docs: DataFrame) -> DataFrame:
     """seq_id, tokens of the distinct path keys: their characters."""
     t = docs.select("seq_id", "path_key").distinct()
-    return R.written(t.select("seq_id", F.transform(F.split("path_key", "(?!^)"), lambda c: F.ascii(c)).alias("tokens")), "paths")
+    return R.written(t.select("seq_id", F.transform(F.split("path_key", "(?!^)(?!$)"), lambda c: F.ascii(c)).alias("tokens")), "paths")
 
 
 def _trait_docs(side: DataFrame) -> DataFrame:
@@ -126,13 +128,21 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
 def p2_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Per record of val and test how much of its path key and of its trait vector the best record of train covers.
 
-    Coverages from 0.8 on count; null means that no record of train comes so close.
+    Coverages from 0.8 on count, 1 - edits / tokens of the held record; null means that no record of train
+    comes so close.  The tokens are the characters of the path key and the counts of the 14 classes.
     """
     tr, held = _side(spark, sf, ("train",)), _side(spark, sf, ("val", "test"))
+    return _coverage(tr, held)
+
+
+def _coverage(tr: DataFrame, held: DataFrame) -> DataFrame:
     pb, tb = _path_docs(held), _trait_docs(held)
-    best = lambda o: o.groupBy(F.col("seq_b").alias("_s")).agg(F.max("cover_b").alias("c"))
-    by_path = best(overlaps(_path_seqs(_path_docs(tr)), _path_seqs(pb), PATH_K, PATH_W, 0.8))
-    by_trait = best(overlaps(_trait_seqs(_trait_docs(tr)), _trait_seqs(tb), TRAIT_K, TRAIT_W, 0.8))
+    best = lambda o: o.select(F.col("seq_b").alias("_s"), F.col("cover").alias("c"))
+    text = lambda docs: _path_seqs(docs).join(docs.select("seq_id", F.col("path_key").alias("shape")).distinct(), "seq_id")
+    vector = lambda docs: _trait_seqs(docs).withColumn("shape", F.col("tokens"))
+    differ = lambda x, y: sum(((x[i] != y[i]).cast("int") for i in range(len(CLASSES))), F.lit(0))
+    by_path = best(closest(text(_path_docs(tr)), text(pb), NEAR_PATH_K, F.levenshtein))
+    by_trait = best(closest(vector(_trait_docs(tr)), vector(tb), NEAR_TRAIT_K, differ, placed=True))
     per = lambda docs, b, n: docs.select("record_id", "seq_id").join(b, F.col("seq_id") == F.col("_s")).select("record_id", F.round("c", 6).alias(n)).distinct()
     t = held.select("record_id", "split", F.coalesce(F.substring_index("path_key", "/", 1), F.lit("")).alias("lot")).distinct()
     return t.join(per(pb, by_path, "cover_path"), "record_id", "left").join(per(tb, by_trait, "cover_traits"), "record_id", "left")

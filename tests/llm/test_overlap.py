@@ -91,3 +91,37 @@ def test_traits_against_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_against_sql(spark, same, name):
     same(spark, Q.QUERIES[name], Q.SQL[name], "/root/testdata/sf0.01")
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_coverage_against_brute_force(spark):
+    rng = random.Random(11)
+    base = [[rng.choice([0, 0, 0, 1, 2, 7]) for _ in range(14)] for _ in range(25)]
+    names = [f"l{rng.randrange(1, 4)}/{rng.choice(['', 'macro ', 'xilema madera '])}{rng.randrange(1, 999)}-{rng.randrange(1, 9999)}" for _ in range(25)]
+    held = []
+    for i, (v, n) in enumerate(zip(base, names, strict=True)):
+        for at in ((), (6,), (7,), (6, 7), (4, 9), (3, 10), (12, 13), (0, 1), (2, 6, 10)):  # changed classes, most in the middle
+            w = [x + 20 + i if j in at else x for j, x in enumerate(v)]
+            p = list(n)
+            for _ in range(rng.randrange(5)):
+                j = rng.randrange(3, len(p))
+                p[j : j + 1] = rng.choice([["q"], [], [p[j], "z"]])
+            held.append((1000 + len(held), "".join(p), w))
+    make = lambda rows: spark.createDataFrame([(r, f"x/{p}.jpg", c, [0.1] * 14) for r, p, c in rows], "record_id long, path string, counts array<int>, areas array<double>").select("record_id", F.lit("x").alias("split"), Q.photo_key(F.col("path")).alias("path_key"), "counts", "areas")
+    left, right = make([(i, n, v) for i, (n, v) in enumerate(zip(names, base, strict=True))]).cache(), make(held).cache()
+    keys_a = {r["path_key"] for r in left.collect()} - {None}
+    keys_b = {r["record_id"]: r["path_key"] for r in right.collect()}
+    cover = lambda a, b: 1 - min(edits(x, b) for x in a) / len(b)
+    near = lambda c: round(c, 6) if c > 0.8 - 1e-9 else None
+    got = {r["record_id"]: (r["cover_path"], r["cover_traits"]) for r in Q._coverage(left, right).collect()}
+    want = {r: (near(cover(keys_a, keys_b[r])) if keys_b[r] else None, near(cover([v for v in base if any(v)], w)) if any(w) else None) for r, _, w in held}
+    assert got == want
+    assert {round(13 / 14, 6), round(12 / 14, 6), 1.0, None} <= {t for _, t in want.values()} and len({p for p, _ in want.values()}) > 5

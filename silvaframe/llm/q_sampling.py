@@ -39,7 +39,7 @@ def targets(spark: SparkSession, sf: str) -> list[S.Target]:
                 per = (rep["per_class"] or {}).get(name)
                 labels[i] = -(-per["images_with_class"] * size // rep["images"]) if per else 0
         groups = {r["species_id"]: (r["target_share_bp"], r["min_images"] or 0) for r in sorted(own, key=lambda r: r["species_id"])}
-        out.append(S.Target(split, size, groups, tuple(labels)))
+        out.append(S.Target(split, size, groups, tuple(labels), fill=True))
     return out
 
 

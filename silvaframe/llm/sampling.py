@@ -5,7 +5,8 @@ reservoir is the bottom-k of a seeded hash within its category, so two
 reservoirs merge by keeping the k least of both, and any prefix of one is a
 uniform sample.  A category here is a *cell*: a group (species) with a set of
 labels (trait classes, as a bit mask).  In the same pass the cells are counted.
-After the final counts each group gets its feasible quota, the quota is dealt to
+After the final counts each group gets its feasible quota, what exhausted groups lack
+of the sample's size is dealt to the others where the target says so, and each group's rows are dealt to
 the group's cells so that the label targets are met as well as they can be
 (iterative proportional fitting of one factor per label), and every reservoir
 is trimmed to its cell's share.  Targets beyond the supply are reported.
@@ -37,12 +38,16 @@ SLICES = 32
 
 @dataclass(frozen=True)
 class Target:
-    """What one split wants: its size, (share, least number) per group, number of rows per label."""
+    """What one split wants: its size, (share, least number) per group, number of rows per label.
+
+    ``fill``: what exhausted groups lack of the size comes from the others, and label targets stay those of the whole size.
+    """
 
     split: str
     size: int
     groups: dict[str, tuple[float, int]]
     labels: tuple[int, ...]
+    fill: bool = False
 
 
 def quota(share_bp: int, size: int, least: int) -> int:
@@ -61,11 +66,11 @@ def allot(cells: pd.DataFrame, target: Target, rounds: int = 60) -> np.ndarray:
         return np.zeros(0, np.int64)
     names, g = np.unique(cells["grp"].to_numpy(str), return_inverse=True)
     n = cells["n"].to_numpy(np.float64)
-    supply = np.bincount(g, n)
-    want = np.array([min(quota(*_share(target, x)), s) for x, s in zip(names, supply, strict=True)], np.float64)
+    want = _deal(target, dict(zip(names, np.bincount(g, n).astype(np.int64).tolist(), strict=True)))
+    want = np.array([want[x] for x in names], np.float64)
     bits = (cells["mask"].to_numpy(np.int64)[:, None] >> np.arange(len(target.labels))) & 1
-    # shares are of the rows that can be drawn: groups without enough supply make the sample smaller
-    goal = np.array(target.labels, np.float64) * (want.sum() / max(target.size, 1))
+    # without fill, shares are of the rows that can be drawn
+    goal = np.array(target.labels, np.float64) * (1 if target.fill else want.sum() / max(target.size, 1))
     goal = np.minimum(goal, n @ bits)
     factor, best = np.ones(len(goal)), (np.inf, None)
     for _ in range(rounds):
@@ -90,6 +95,27 @@ def allot(cells: pd.DataFrame, target: Target, rounds: int = 60) -> np.ndarray:
     return np.minimum(whole, n).astype(np.int64)
 
 
+def _deal(target: Target, supply: dict[str, int]) -> dict[str, int]:
+    """Rows per group: its feasible quota, and with ``fill`` what is missing to the size from the groups with supply left.
+
+    The missing rows are dealt in proportion to the targets, by largest remainders, again until
+    the size is reached or nothing is left.
+    """
+    goal = {g: quota(*_share(target, g)) for g in sorted(supply)}
+    take = {g: min(q, supply[g]) for g, q in goal.items()}
+    while target.fill and (short := target.size - sum(take.values())) > 0:
+        free = [g for g in take if goal[g] > 0 and take[g] < supply[g]]
+        whole = sum(goal[g] for g in free)
+        if not free:
+            break
+        add = {g: short * goal[g] // whole for g in free}
+        for g in sorted(free, key=lambda g: (-(short * goal[g] % whole), g))[: short - sum(add.values())]:
+            add[g] += 1
+        for g in free:
+            take[g] = min(take[g] + add[g], supply[g])
+    return take
+
+
 def _share(target: Target, group: str) -> tuple[int, int, int]:
     share, least = target.groups[group]
     return int(share), target.size, int(least)
@@ -114,14 +140,14 @@ def _fill(g: np.ndarray, n: np.ndarray, want: np.ndarray, weight: np.ndarray) ->
 def reservoirs(photos: DataFrame, targets: list[Target], seed: int = 42) -> DataFrame:
     """The state: per cell and slice the least and the greatest hashes, and the rows seen.
 
-    ``photos``: key, grp, mask, each key once.  Capacity is the group's largest quota; a
-    cell of no target keeps one row, which carries its count.  Two states merge by
+    ``photos``: key, grp, mask, each key once.  Capacity is the group's largest quota, or
+    the sample's size where others' shortfall may come from it; a cell of no target keeps one row, which carries its count.  Two states merge by
     taking the least (greatest) hashes of both and adding ``seen``.
     """
     caps: dict[str, int] = {}
     for t in targets:
         for g, (share, least) in t.groups.items():
-            caps[g] = max(caps.get(g, 0), quota(int(share), t.size, int(least)))
+            caps[g] = max(caps.get(g, 0), quota(int(share), t.size, int(least)), t.size if t.fill else 0)
     plan = photos.sparkSession.createDataFrame([(g, int(c)) for g, c in sorted(caps.items())], "grp string, cap long")
     t = photos.where("key is not null").select("key", "grp", "mask").withColumn("h", F.xxhash64(F.lit(seed), "key"))
     t = t.withColumn("slice", F.pmod(F.col("h"), F.lit(SLICES)).cast("int"))

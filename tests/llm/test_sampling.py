@@ -63,3 +63,20 @@ def test_empty(spark):
 def test_against_sql(spark, same):
     same(spark, Q.p3_found, Q.SQL["p3_found"], "/root/testdata/sf0.01")
     same(spark, Q.p3_found, Q.SQL["p3_found"], "/root/testdata/sf0.001")
+
+
+def test_shortfall_comes_from_other_groups(spark):
+    t = S.Target("val", 300, {"g1": (5000, 0), "g2": (3000, 0), "hot": (2000, 0)}, (60, 150), fill=True)
+    state = S.reservoirs(photos(spark), [t])
+    cells = S.cell_counts(state)
+    supply = cells.groupby("grp")["n"].sum()
+    assert supply["g1"] < 150 and supply["g2"] < 90 and supply["hot"] > 60
+    n = S.draw(state, cells, [t]).toPandas().groupby("grp").size().to_dict()
+    assert n == {"g1": supply["g1"], "g2": supply["g2"], "hot": 300 - supply["g1"] - supply["g2"]}
+    assert {x[2] for x in S.exhausted(cells, ["a", "b"], [t]) if x[1] == "species"} == {"g1", "g2"}
+
+
+def test_sample_has_its_size(spark):
+    sf = "/root/testdata/sf0.01"
+    drawn = {r["split"]: r["count"] for r in Q.p3_sample(spark, sf).groupBy("split").count().collect()}
+    assert drawn == {t.split: t.size for t in Q.targets(spark, sf)}

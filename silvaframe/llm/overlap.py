@@ -20,18 +20,13 @@ give an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import runtime as R
-
-#: ``closest`` deals its right side to so many copies of the left one, so that a frequent gram is no single task.
-SPREAD = 4
-
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,26 +98,27 @@ def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def extend(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], k: int, drop: int = 4) -> tuple[int, int]:
     """Tokens of a and of b that the extended chain aligns.
 
-    Each seed grows to both sides along its diagonal while the best score (+1 a match,
-    -1 a mismatch) is at most ``drop`` behind; matching tokens are marked.
+    Each seed grows to both sides along its diagonal while the score (+1 a match, -1 a
+    mismatch) is at most ``drop`` behind its best; what follows the best score counts only
+    where the walk came to an end of a sequence.  Matching tokens are marked.
     """
     ma, mb = np.zeros(len(a), bool), np.zeros(len(b), bool)
     for pa, pb in seeds:
         if ma[pa] and mb[pb] and ma[min(pa + k, len(a)) - 1]:
             continue  # inside a run that is there already
         for step in (1, -1):
-            i, j, score, top, hits, keep = pa if step > 0 else pa - 1, pb if step > 0 else pb - 1, 0, 0, [], 0
-            while 0 <= i < len(a) and 0 <= j < len(b) and top - score <= drop:
-                if a[i] == b[j]:
-                    score += 1
-                    hits.append((i, j))
-                    if score >= top:
-                        top, keep = score, len(hits)
-                else:
-                    score -= 1
-                i, j = i + step, j + step
-            for x, y in hits[:keep]:
-                ma[x] = mb[y] = True
+            x, y = (a[pa:], b[pb:]) if step > 0 else (a[:pa][::-1], b[:pb][::-1])
+            n = min(len(x), len(y))
+            if not n:
+                continue
+            same = x[:n] == y[:n]
+            score = np.cumsum(np.where(same, 1, -1))
+            best = np.maximum(np.maximum.accumulate(score), 0)
+            far = np.flatnonzero(best - score > drop)
+            end = n if not len(far) else int(np.flatnonzero(score[: far[0]] == best[far[0]])[-1]) + 1 if best[far[0]] > 0 else 0
+            hit = np.flatnonzero(same[:end])
+            ma[pa + hit if step > 0 else pa - 1 - hit] = True
+            mb[pb + hit if step > 0 else pb - 1 - hit] = True
     return int(ma.sum()), int(mb.sum())
 
 
@@ -140,11 +136,11 @@ def fingerprints(seqs: DataFrame, k: int, w: int) -> DataFrame:
     return seqs.select("seq_id", "tokens").mapInPandas(run, "seq_id long, pos int, hash long")
 
 
-def overlaps(left: DataFrame, right: DataFrame, k: int, w: int, least: float = 0.8) -> DataFrame:
-    """Pairs of distinct sequences of two sides: (seq_a, seq_b, cover_a, cover_b).
+def overlaps(left: DataFrame, right: DataFrame, k: int, w: int, least: float = 0.8, drop: int = 4) -> DataFrame:
+    """Pairs of sequences of two sides: (seq_a, seq_b, cover_a, cover_b).
 
     Both sides: (seq_id long, tokens array<int>), distinct by seq_id.  ``least``: the
-    greater of both coverages that a pair needs.
+    greater of both coverages that a pair needs; ``drop``: see ``extend``.
     """
     fa, fb = fingerprints(left, k, w), fingerprints(right, k, w)
     seeds = fa.select(F.col("seq_id").alias("seq_a"), F.col("pos").alias("pa"), "hash").join(fb.select(F.col("seq_id").alias("seq_b"), F.col("pos").alias("pb"), "hash"), "hash")
@@ -157,63 +153,10 @@ def overlaps(left: DataFrame, right: DataFrame, k: int, w: int, least: float = 0
             rows = []
             for s, a, b in zip(f["seeds"], f["ta"], f["tb"], strict=True):
                 a, b = np.asarray(a), np.asarray(b)
-                if len(a) == len(b) and (a == b).all():
-                    rows.append((1.0, 1.0))  # the chain of all seeds extends to both ends
-                    continue
-                x, y = extend(a, b, chain([(p["pa"], p["pb"]) for p in s]), k)
+                x, y = extend(a, b, chain([(p["pa"], p["pb"]) for p in s]), k, drop)
                 rows.append((x / len(a), y / len(b)))
             cover = np.array(rows, float).reshape(-1, 2)
             out = pd.DataFrame({"seq_a": f["seq_a"], "seq_b": f["seq_b"], "cover_a": cover[:, 0], "cover_b": cover[:, 1]})
-            yield out[np.maximum(cover[:, 0], cover[:, 1]) >= least] if len(out) else out
+            yield out[np.maximum(cover[:, 0], cover[:, 1]) >= least - 1e-9] if len(out) else out
 
     return cand.select("seq_a", "seq_b", "seeds", "ta", "tb").mapInPandas(align, "seq_a long, seq_b long, cover_a double, cover_b double")
-
-
-def _one_edit(seqs: DataFrame, side: int) -> DataFrame:
-    """(seq_id, h): two sequences of the sides 0 and 1 that one edit tells apart share an h."""
-    t, n = F.col("tokens"), F.sequence(F.lit(0), F.size("tokens") - 1)
-    masked = F.transform(n, lambda i: F.xxhash64(F.lit("s"), F.transform(t, lambda x, j: F.when(j != i, x).otherwise(F.lit(-1)))))
-    less = F.transform(n, lambda i: F.xxhash64(F.lit("ab"[side]), F.concat(F.slice(t, 1, i), F.slice(t, i + 2, F.size(t)))))
-    whole = F.array(F.xxhash64(F.lit("ba"[side]), t))
-    return seqs.where(F.size("tokens") > 0).select("seq_id", F.explode(F.concat(masked, less, whole)).alias("h")).distinct()
-
-
-def _two_changes(seqs: DataFrame) -> DataFrame:
-    """(seq_id, h): two sequences of a length that two changed tokens tell apart share an h."""
-    t, n = F.col("tokens"), F.size("tokens")
-    at = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    t = seqs.where(n > 1).select("seq_id", "tokens", F.explode(at).alias("m"))
-    return t.select("seq_id", F.xxhash64(F.transform("tokens", lambda x, i: F.when((i != F.col("m.i")) & (i != F.col("m.j")), x).otherwise(F.lit(-1)))).alias("h"))
-
-
-def closest(left: DataFrame, right: DataFrame, k: int, edits: Callable[[Column, Column], Column], least: float = 0.8, placed: bool = False) -> DataFrame:
-    """(seq_b, cover): the greatest share of each right sequence that a left one covers, if it is at least ``least``.
-
-    A sequence of n tokens that e edits (a token changed, put in or left out) turn into the
-    other is covered to 1 - e / n.  Both sides: (seq_id, tokens, shape); ``edits`` counts them
-    on two shapes.  ``placed``: a token holds its place, so edits are changes only.  No close
-    pair is missed: equal sequences and those one edit or two changes apart
-    meet on a hash, and have nothing better to find.  Of the others each right one is cut in
-    d + 1 parts, d being the edits allowed; one part is unchanged and at most d
-    places away in the left one.  So with all ``k``-grams of the left (w = 1) those at the
-    parts' beginnings suffice; ``k`` must not exceed a part's length n // (d + 1).
-    """
-    right = right.where(F.size("tokens") > 0)
-    equal = right.join(left.select("seq_id", "tokens"), ["seq_id", "tokens"], "left_semi").select("seq_id", F.lit(1.0).alias("cover"))
-    rest = right.join(equal, "seq_id", "left_anti").withColumn("n", F.size("tokens")).withColumn("d", F.floor(F.col("n") * (1 - least) + 1e-9).cast("int")).where("d > 0")
-    one = _one_edit(rest, 1).join(_one_edit(left, 0).select("h").distinct(), "h", "left_semi").select("seq_id").distinct()
-    single = rest.join(one, "seq_id", "left_semi").select("seq_id", (1 - 1 / F.col("n")).alias("cover"))
-    rest = rest.join(one, "seq_id", "left_anti").where("d > 1")
-    sizes = rest.select(F.col("n").alias("_n")).distinct()
-    two = _two_changes(rest).join(_two_changes(left.join(sizes, F.size("tokens") == F.col("_n"), "left_semi")).select("h"), "h", "left_semi").select("seq_id").distinct()
-    double = rest.join(two, "seq_id", "left_semi").select("seq_id", (1 - 2 / F.col("n")).alias("cover"))
-    rest = R.written(rest.join(two, "seq_id", "left_anti").where(F.col("d") > (2 if placed else 1)), "apart")
-
-    cut = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int"))
-    fb = fingerprints(rest, k, 1).join(rest.select("seq_id", "n", "d", F.col("shape").alias("sb"), cut.alias("cut")), "seq_id").where("array_contains(cut, pos)")
-    fb = fb.select("hash", F.pmod(F.xxhash64("seq_id"), F.lit(SPREAD)).alias("salt"), "seq_id", F.col("pos").alias("pb"), "n", "d", "sb")
-    fa = fingerprints(left, k, 1).join(left.select("seq_id", F.size("tokens").alias("na"), F.col("shape").alias("sa")), "seq_id")
-    fa = fa.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("salt"), F.col("pos").alias("pa"), "na", "sa")
-    near = fa.join(fb, ["hash", "salt"]).where("abs(pa - pb) <= d and abs(na - n) <= d").withColumn("e", edits(F.col("sa"), F.col("sb"))).where("e <= d")
-    far = near.groupBy("seq_id").agg((1 - F.min(F.col("e") / F.col("n"))).alias("cover"))
-    return equal.unionByName(single).unionByName(double).unionByName(far).select(F.col("seq_id").alias("seq_b"), "cover")

@@ -1,8 +1,20 @@
 """Queries of problem 2 over train, val and test.
 
-A photograph is two short token sequences: the characters of its path in one
-spelling (lot folder and photograph name), and its trait vector (one token per
-class and count).  Both go through the winnowing operator; exact checks follow.
+A photograph is two short token sequences, and both go through the winnowing operator; the
+rules of the definition are checked on the aligned pairs.
+
+*Path*: begin, lot folder, slash, all words of the photograph's name but the last, the last
+word, end, and one token for marks of copying or editing, where there are any.  Two ways of
+writing one path share the first six tokens, whatever their marks.
+
+*Traits*: per grid and class that the photograph has, a token of class, count and cell of
+ln(area).  The ``GRIDS`` grids have cells of ``GRIDS`` times the tolerance and are shifted by
+one tolerance each, so a class whose areas differ by at most 1 % is torn apart in one grid at
+most.  Of any ``RUN`` = k + w - 1 neighbouring classes at least one of the RUN + 1 grids so
+has them all in the same cells: near copies always share a fingerprint, and at least
+1 - 1 / GRIDS = 0.8 of their tokens match.  Conversely, of two sequences of at least
+GRIDS * RUN tokens that match in 0.8 of their places some RUN places in a row match,
+so every such pair is found.  Photographs with fewer than RUN classes repeat theirs.
 """
 
 from __future__ import annotations
@@ -11,18 +23,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import runtime as R
-from .overlap import closest, overlaps
+from .overlap import overlaps
 
 #: The trait classes, in the tables' order.
 CLASSES = ("5", "13", "22", "45", "61", "66", "72", "76", "77", "78", "93", "98", "vx", "rad")
-#: Path keys have 8 to 25 characters; those shorter than K are one gram.
-PATH_K, PATH_W = 16, 8
-#: 14 tokens make one window of three 12-grams: k + w - 1 = 14, so equal vectors always meet.
-TRAIT_K, TRAIT_W = 12, 3
-#: Near records, see ``overlap.closest``: of n tokens a fifth may differ, so an unchanged part has 3 or more; 4 of the 14 of a trait vector.
-NEAR_PATH_K, NEAR_TRAIT_K = 3, 4
-#: Areas that differ by at most 1 % of the larger lie in the same or in neighbouring cells of this width in ln(area).
-AREA_CELL = 0.01006
+#: The six tokens that two spellings share are two 5-grams, one window.
+PATH_K, PATH_W = 5, 2
+TRAIT_K, TRAIT_W = 3, 2
+RUN = TRAIT_K + TRAIT_W - 1
+GRIDS = RUN + 1
+#: Share of its tokens that a record must have in common with one of the other split.
+LEAST = 0.8
+#: Mismatches in a row that the alignment walks over: a grid in which every class is torn apart.
+DROP = len(CLASSES) + 2
+#: Areas that differ by at most 1 % of the larger differ by less than this in ln(area).
+TOLERANCE = 0.01006
 
 #: File types and marks of copying or editing at the end of a photograph's name.
 TYPES = r"(\.(jpe?g|jpe|jfif|png|tiff?|bmp|gif|webp|heic|raw|dng|cr2|nef|orig|bak|tmp))+$"
@@ -38,75 +53,88 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(c, r"^-+|-+$", "")
 
 
-def photo_key(path: Column) -> Column:
-    """``lot/photograph`` in one spelling, or null where either is missing."""
+def _split_path(path: Column) -> tuple[Column, Column, Column]:
+    """Lot, photograph's name without marks and file types, and the marks, each in one spelling."""
     p = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     p = F.lower(F.trim(F.translate(p, "\\", "/")))
-    name = F.regexp_extract(p, r"([^/]*)$", 1)
+    whole = F.trim(F.regexp_extract(p, r"([^/]*)$", 1))
     lot = F.regexp_extract(p, r"([^/]+)/+[^/]*$", 1)
-    name = F.regexp_replace(F.trim(name), TYPES, "")
+    name = F.regexp_replace(whole, TYPES, "")
     name = F.regexp_replace(F.regexp_replace(name, MARKS, ""), TYPES, "")
-    name, lot = _plain(F.regexp_replace(name, MARKS, "")), _plain(lot)
+    name = F.regexp_replace(name, MARKS, "")  # a beginning of the whole name
+    return _plain(lot), _plain(name), _plain(F.regexp_replace(F.substr(whole, F.length(name) + 1), TYPES, ""))
+
+
+def photo_key(path: Column) -> Column:
+    """``lot/photograph`` in one spelling, or null where either is missing."""
+    lot, name, _ = _split_path(path)
     return F.when((name != "") & (lot != ""), F.concat_ws("/", lot, name))
 
 
 def _side(spark: SparkSession, sf: str, names: tuple[str, ...]) -> DataFrame:
-    """record_id, split, lot, key, counts and areas of the tables."""
+    """record_id, split, lot, name, marks, counts and areas of the tables."""
     out = None
     for n in names:
         t = spark.read.parquet(f"{sf}/{n}.parquet")
-        key = photo_key(F.col("image_path"))
-        t = t.select("record_id", F.lit(n).alias("split"), key.alias("path_key"), F.array(*[F.col(f"count_feat_{c}") for c in CLASSES]).alias("counts"), F.array(*[F.col(f"area_feat_{c}") for c in CLASSES]).alias("areas"))
+        lot, name, marks = _split_path(F.col("image_path"))
+        t = t.select("record_id", F.lit(n).alias("split"), lot.alias("lot"), name.alias("name"), marks.alias("marks"), F.array(*[F.col(f"count_feat_{c}") for c in CLASSES]).alias("counts"), F.array(*[F.col(f"area_feat_{c}") for c in CLASSES]).alias("areas"))
         out = t if out is None else out.unionByName(t)
     return R.written(out.where("record_id is not null").distinct(), "side")  # the wide tables are read once
 
 
 def _path_docs(side: DataFrame) -> DataFrame:
-    """record_id, seq_id, path_key."""
-    return side.where("path_key is not null").select("record_id", "path_key", F.xxhash64("path_key").alias("seq_id"))
-
-
-def _path_seqs(docs: DataFrame) -> DataFrame:
-    """seq_id, tokens of the distinct path keys: their characters."""
-    t = docs.select("seq_id", "path_key").distinct()
-    return R.written(t.select("seq_id", F.transform(F.split("path_key", "(?!^)(?!$)"), lambda c: F.ascii(c)).alias("tokens")), "paths")
+    """record_id, seq_id, tokens, path_key of the records with a lot and a name."""
+    t = side.where("lot <> '' and name <> ''")
+    head, tail = F.regexp_extract("name", r"^(.*)-[^-]*$", 1), F.substring_index("name", "-", -1)
+    tokens = [F.hash(F.lit(what), x) for what, x in (("^", F.lit(0)), ("lot", F.col("lot")), ("/", F.lit(0)), ("head", head), ("tail", tail), ("$", F.lit(0)))]
+    marks = F.when(F.col("marks") != "", F.array(F.hash(F.lit("marks"), "marks"))).otherwise(F.array().cast("array<int>"))
+    t = t.select("record_id", F.concat(F.array(*tokens), marks).alias("tokens"), F.concat_ws("/", "lot", "name").alias("path_key"))
+    return t.withColumn("seq_id", F.xxhash64("tokens"))
 
 
 def _trait_docs(side: DataFrame) -> DataFrame:
-    """record_id, seq_id, counts, areas, and the cells of ln(area) of the two leading classes."""
+    """record_id, seq_id, tokens, counts and areas of the records with instances and without unknown values."""
     known = ~F.exists("counts", lambda x: x.isNull()) & ~F.exists("areas", lambda x: x.isNull() | F.isnan(x))
-    t = side.where(known & F.exists("counts", lambda x: x > 0)).withColumn("seq_id", F.xxhash64("counts"))
-    # the classes with the most instances, the same for all records with these counts
-    order = F.array_sort(F.transform("counts", lambda c, i: F.struct((-c).alias("c"), i.alias("i"))))
-    t = t.select("record_id", "seq_id", "counts", "areas", F.slice(order, 1, 2).alias("lead"))
-    area = lambda n: F.get("areas", F.col("lead")[n]["i"])
-    cell = lambda n: F.floor(F.log(F.when(area(n) > 0, area(n)).otherwise(F.lit(1e-300))) / F.lit(AREA_CELL)).cast("int")
-    return t.select("record_id", "seq_id", "counts", "areas", cell(0).alias("c0"), cell(1).alias("c1"))
+    t = side.where(known & F.exists("counts", lambda x: x != 0))
+    here = F.filter(F.transform("counts", lambda c, i: F.struct(i.alias("i"), c.alias("c"), F.get("areas", i).alias("a"))), lambda s: (s["c"] != 0) | (s["a"] != 0))
+    t = t.select("record_id", "counts", "areas", here.alias("h"))
+    again = F.transform(F.sequence(F.lit(0), F.greatest(F.size("h"), F.lit(RUN)) - 1), lambda j: F.get("h", j % F.size("h")))
+    t = t.withColumn("h", again)
+
+    def grid(g: int) -> Column:
+        cell = lambda a: F.floor((F.ln(F.when(a > 0, a)) + g * TOLERANCE) / (GRIDS * TOLERANCE))
+        return F.transform("h", lambda s: F.hash(F.lit(g), s["i"], s["c"], cell(s["a"])))
 
+    tokens = F.concat(*[grid(g) for g in range(GRIDS)])
+    return t.select("record_id", "counts", "areas", tokens.alias("tokens")).withColumn("seq_id", F.xxhash64("tokens"))
 
-def _trait_seqs(docs: DataFrame) -> DataFrame:
-    """seq_id, tokens of the distinct count vectors: a token per class and count."""
-    t = docs.select("seq_id", F.concat_ws(" ", F.transform("counts", lambda c: c.cast("string"))).alias("k")).distinct()
-    return R.written(t.select("seq_id", F.transform(F.split("k", " "), lambda c, i: (c.cast("int") * 16 + i).cast("int")).alias("tokens")), "vectors")
+
+def _seqs(docs: DataFrame, what: str) -> DataFrame:
+    """seq_id, tokens of the distinct sequences."""
+    return R.written(docs.groupBy("seq_id").agg(F.any_value("tokens").alias("tokens")), what)
+
+
+def _aligned(train: DataFrame, held: DataFrame, k: int, w: int, what: str) -> DataFrame:
+    """(seq_a, seq_b, cover_a, cover_b) of the sequences that both sides' records have in common to ``LEAST`` or more."""
+    return overlaps(_seqs(train, f"{what}-train"), _seqs(held, f"{what}-held"), k, w, LEAST, DROP)
+
+
+def _records(train: DataFrame, held: DataFrame, pairs: DataFrame, cols: list[str]) -> DataFrame:
+    """The records of both sides behind the pairs of sequences: ra, rb and the columns as a_... and b_..."""
+    left = train.select(F.col("seq_id").alias("seq_a"), F.col("record_id").alias("ra"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = held.select(F.col("seq_id").alias("seq_b"), F.col("record_id").alias("rb"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    return pairs.select("seq_a", "seq_b").join(left, "seq_a").join(right, "seq_b")
 
 
 def _pairs(train: DataFrame, held: DataFrame) -> DataFrame:
     """(record_a of train, record_b of val or test, rule)."""
     pa, pb = _path_docs(train), _path_docs(held)
-    same = overlaps(_path_seqs(pa), _path_seqs(pb), PATH_K, PATH_W, 1.0).where("cover_a = 1 and cover_b = 1 and seq_a = seq_b").select("seq_a")
-    left = pa.join(same, pa["seq_id"] == same["seq_a"], "left_semi").select("seq_id", "path_key", F.col("record_id").alias("ra"))
-    right = pb.select("seq_id", F.col("path_key").alias("kb"), F.col("record_id").alias("rb"))
-    by_path = left.join(right, "seq_id").where("path_key = kb").select("ra", "rb", F.lit("path").alias("rule"))
-
+    by_path = _records(pa, pb, _aligned(pa, pb, PATH_K, PATH_W, "paths"), ["path_key"]).where("a_path_key = b_path_key")
     ta, tb = _trait_docs(train), _trait_docs(held)
-    same = overlaps(_trait_seqs(ta), _trait_seqs(tb), TRAIT_K, TRAIT_W, 1.0).where("cover_a = 1 and cover_b = 1 and seq_a = seq_b").select("seq_a")
-    left = ta.join(same, ta["seq_id"] == same["seq_a"], "left_semi").select("seq_id", "c0", "c1", F.col("record_id").alias("ra"), F.col("counts").alias("na"), F.col("areas").alias("aa"))
-    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
-    right = tb.select("seq_id", near("c0"), "c1", "record_id", "counts", "areas")
-    right = right.select("seq_id", "c0", near("c1"), F.col("record_id").alias("rb"), F.col("counts").alias("nb"), F.col("areas").alias("ab"))
-    close = F.forall(F.arrays_zip("aa", "ab"), lambda z: F.abs(z["aa"] - z["ab"]) <= 0.01 * F.greatest(z["aa"], z["ab"]))
-    by_trait = left.join(right, ["seq_id", "c0", "c1"]).where((F.col("na") == F.col("nb")) & close).select("ra", "rb", F.lit("traits").alias("rule"))
-    return by_path.unionByName(by_trait)
+    by_trait = _records(ta, tb, _aligned(ta, tb, TRAIT_K, TRAIT_W, "traits"), ["counts", "areas"])
+    close = F.forall(F.arrays_zip("a_areas", "b_areas"), lambda z: F.abs(z["a_areas"] - z["b_areas"]) <= 0.01 * F.greatest(z["a_areas"], z["b_areas"]))
+    by_trait = by_trait.where((F.col("a_counts") == F.col("b_counts")) & close)
+    return by_path.select("ra", "rb", F.lit("path").alias("rule")).unionByName(by_trait.select("ra", "rb", F.lit("traits").alias("rule")))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,33 +147,34 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     held = _side(spark, sf, ("val", "test"))
     pairs = R.written(_pairs(_side(spark, sf, ("train",)), held), "overlap")
     per = pairs.groupBy("rb").agg(F.countDistinct("ra").alias("n_pairs"), F.max(F.when(F.col("rule") == "path", 1).otherwise(0)).alias("by_path"), F.max(F.when(F.col("rule") == "traits", 1).otherwise(0)).alias("by_traits"))
-    lots = held.select("record_id", "split", F.coalesce(F.substring_index("path_key", "/", 1), F.lit("")).alias("lot")).distinct()
+    lots = held.select("record_id", "split", _lot()).distinct()
     t = lots.join(per, lots["record_id"] == per["rb"], "left")
     t = t.groupBy("split", "lot").agg(F.count(F.lit(1)).alias("records"), F.count("rb").alias("overlapping"), F.coalesce(F.sum("by_path"), F.lit(0)).alias("by_path"), F.coalesce(F.sum("by_traits"), F.lit(0)).alias("by_traits"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("pairs"))
     return t.withColumn("share", F.round(F.col("overlapping") / F.col("records"), 6))
 
 
+def _lot() -> Column:
+    """The lot of a record with a name, else empty."""
+    return F.when((F.col("lot") != "") & (F.col("name") != ""), F.col("lot")).otherwise("").alias("lot")
+
+
 def p2_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Per record of val and test how much of its path key and of its trait vector the best record of train covers.
+    """Per record of val and test how much of its path and of its traits the best record of train covers.
 
-    Coverages from 0.8 on count, 1 - edits / tokens of the held record; null means that no record of train
-    comes so close.  The tokens are the characters of the path key and the counts of the 14 classes.
+    The shares of the record's tokens (see above) that the winnowing alignment matches, from 0.8 on;
+    null means that no record of train comes so close.
     """
-    tr, held = _side(spark, sf, ("train",)), _side(spark, sf, ("val", "test"))
-    return _coverage(tr, held)
+    return _coverage(_side(spark, sf, ("train",)), _side(spark, sf, ("val", "test")))
 
 
 def _coverage(tr: DataFrame, held: DataFrame) -> DataFrame:
-    pb, tb = _path_docs(held), _trait_docs(held)
-    best = lambda o: o.select(F.col("seq_b").alias("_s"), F.col("cover").alias("c"))
-    text = lambda docs: _path_seqs(docs).join(docs.select("seq_id", F.col("path_key").alias("shape")).distinct(), "seq_id")
-    vector = lambda docs: _trait_seqs(docs).withColumn("shape", F.col("tokens"))
-    differ = lambda x, y: sum(((x[i] != y[i]).cast("int") for i in range(len(CLASSES))), F.lit(0))
-    by_path = best(closest(text(_path_docs(tr)), text(pb), NEAR_PATH_K, F.levenshtein))
-    by_trait = best(closest(vector(_trait_docs(tr)), vector(tb), NEAR_TRAIT_K, differ, placed=True))
-    per = lambda docs, b, n: docs.select("record_id", "seq_id").join(b, F.col("seq_id") == F.col("_s")).select("record_id", F.round("c", 6).alias(n)).distinct()
-    t = held.select("record_id", "split", F.coalesce(F.substring_index("path_key", "/", 1), F.lit("")).alias("lot")).distinct()
-    return t.join(per(pb, by_path, "cover_path"), "record_id", "left").join(per(tb, by_trait, "cover_traits"), "record_id", "left")
+    t = held.select("record_id", "split", _lot()).distinct()
+    for name, docs, k, w in (("path", _path_docs, PATH_K, PATH_W), ("traits", _trait_docs, TRAIT_K, TRAIT_W)):
+        own = docs(held)
+        best = _aligned(docs(tr), own, k, w, name).groupBy(F.col("seq_b").alias("seq_id")).agg(F.max("cover_b").alias("c")).where(F.col("c") >= LEAST - 1e-9)
+        per = own.join(best, "seq_id").groupBy("record_id").agg(F.round(F.max("c"), 6).alias(f"cover_{name}"))
+        t = t.join(per, "record_id", "left")
+    return t
 
 
 _CNT = "[" + ", ".join(f"count_feat_{c}" for c in CLASSES) + "]"

@@ -10,12 +10,20 @@ threshold, or without prose, count as no language.  A paragraph has the
 language of the greater part of its prose in characters, and so has a document.
 
 Training: a sample of labelled documents, at most ``PER_LANGUAGE`` of each language
-(a parameter; drawn by hash, whole texts).  Labels are partly wrong, so a first
-model relabels the pieces, and the second learns from those it is sure of.
+and none above ``LONGEST`` characters (parameters; drawn by hash, whole texts).  Labels are
+partly wrong, so a first model relabels the pieces, and the second learns from those it is
+sure of.
 
-Scale.  Only the sample reaches the driver.  Labelling is one pass without a
-shuffle.  Embedding and linear layer are multiplied out beforehand, so an n-gram
-costs one look-up.  Batches are cut to ``CHARS`` characters, however long texts are.
+Calibration: held-out documents with their own labels, all pieces.  A label is taken to be
+right with probability 1 - noise and else any other; temperature and noise are fitted
+together by the greatest likelihood, so wrong labels do not flatten the confidence.
+``Model.error`` is the expected calibration error on these pieces, label noise allowed for.
+Pieces with a calibrated confidence below ``LEAST`` are rejected.
+
+Scale.  Only the sample reaches the driver, at most 2 * PER_LANGUAGE * 6 * LONGEST
+characters.  Labelling is one pass without a shuffle.  Embedding and linear layer are
+multiplied out beforehand, so an n-gram costs one look-up, and equal pieces of a batch are
+scored once.  Batches are cut to ``CHARS`` characters, however long texts are.
 
 Defined cases.  Null and empty texts are ``und`` with confidence 0 and have no
 paragraphs.  A document without any usable label in the whole table leaves nothing to
@@ -38,8 +46,10 @@ from pyspark.sql import functions as F
 LANGUAGES = ("es", "en", "pt", "fr", "de", "it")
 UND = "und"
 PER_LANGUAGE = 300
+LONGEST = 20_000
 PIECE = 14
 CHARS = 1_000_000
+LEAST = 0.4
 #: Small samples are gone through more often, so that there are at least so many steps.
 LEAST_STEPS = 400
 BUCKETS, DIM, GRAMS = 1 << 15, 12, (2, 3, 4, 5)
@@ -69,10 +79,10 @@ def label_language(c: Column) -> Column:
 # -- text ----------------------------------------------------------------------
 
 _BREAK = re.compile(r"\r\n|\r|\n")
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
 _BROKEN = re.compile("[ÂÃâ][\x80-\xbf€Œ-ƒˆ˜–-›™]")
-_DROP = re.compile(r"\S*[\d_@|/\\]\S*")
-_END = re.compile(r"(?<=[^\W\d_]{2}[.!?:;])\s+|(?<=[)\]»”\"][.!?:;])\s+")
+_DROP = re.compile(r"(?<!\S)[^\s\d_@|/\\]*[\d_@|/\\]\S*")
+_STOP = re.compile(r"[.!?:;]\s+")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -107,12 +117,24 @@ def mended(s: str) -> str:
     return s
 
 
-def plain(s: str) -> str:
-    """Lower case ASCII letters and blanks; tokens with figures are dropped."""
+def plain(s: str) -> list[str]:
+    """Words of lower case ASCII letters; tokens with figures are dropped."""
     s = _DROP.sub(" ", s).lower()
     if not s.isascii():
         s = unicodedata.normalize("NFKD", s.replace("ß", "ss")).encode("ascii", "ignore").decode()
-    return " ".join(_WORD.findall(s))
+    return _WORD.findall(s)
+
+
+def sentences(s: str) -> list[str]:
+    """Parts after a stop behind two letters, or behind a closing bracket or quotation mark."""
+    out, at = [], 0
+    for m in _STOP.finditer(s):
+        i = m.start()
+        if i > 1 and s[i - 1].isalpha() and s[i - 2].isalpha() or i and s[i - 1] in ")]»”\"":
+            out.append(s[at : i + 1])
+            at = m.end()
+    out.append(s[at:])
+    return out
 
 
 def pieces(paragraph: str) -> list[tuple[str, float]]:
@@ -122,14 +144,19 @@ def pieces(paragraph: str) -> list[tuple[str, float]]:
     parts where there is no prose: fewer than 3 words or 10 letters.
     """
     out: list[tuple[list[str], float]] = []
-    for part in _END.split(mended(paragraph).strip()):
-        words = plain(part).split()
+    letters, long = 0, 0
+    for part in sentences(mended(paragraph).strip()):
+        words = plain(part)
+        if not words:
+            continue
+        letters += sum(map(len, words))
+        if long < 3:
+            long += sum([len(w) > 1 for w in words])
         n = -(-len(words) // PIECE)
         for i in range(n):
             w = words[i * len(words) // n : (i + 1) * len(words) // n]
             out.append((w, len(part) * len(w) / len(words)))
-    whole = [w for p, _ in out for w in p]
-    if sum(len(w) > 1 for w in whole) < 3 or sum(map(len, whole)) < 10:
+    if long < 3 or letters < 10:
         return []
     kept: list[tuple[list[str], float]] = []
     for p, size in out:  # a part too short to tell joins the one before it
@@ -143,32 +170,31 @@ def pieces(paragraph: str) -> list[tuple[str, float]]:
 # -- features ------------------------------------------------------------------
 
 
-def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of all n-grams within words and their edges, in the order of the texts."""
+def hashed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length of n-grams (bucket, text) of those within words and their edges, in the order of the texts."""
     if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return []
     raw = np.frombuffer("".join(f" {t} " for t in texts).encode("ascii", "replace"), np.uint8)
     of = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     letter = raw != 32
-    hs, ofs = [], []
+    out = []
     for n in GRAMS:
         m = len(raw) - n + 1
         if m <= 0:
             continue
-        h = np.full(m, n, np.uint32)
-        ok = np.ones(m, bool)
+        ok = letter[:m] | letter[1 : 1 + m] if n == 2 else np.ones(m, bool)
+        for j in range(1, n - 1):
+            ok = ok & letter[j : j + m]
+        at = np.flatnonzero(ok)
+        h = np.full(len(at), n, np.uint32)
         with np.errstate(over="ignore"):
             for j in range(n):
-                h = h * np.uint32(0x01000193) ^ raw[j : j + m]
-                if 0 < j < n - 1 or n == 2 and j == 0:
-                    ok &= letter[j : j + m] if n > 2 else (letter[:m] | letter[1 : 1 + m])
+                h = h * np.uint32(0x01000193) ^ raw[at + j]
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x2C1B3C6D)
             h ^= h >> np.uint32(12)
-        hs.append((h[ok] & np.uint32(BUCKETS - 1)).astype(np.int64))
-        ofs.append(of[:m][ok])
-    h, o = np.concatenate(hs), np.concatenate(ofs)
-    return h, o
+        out.append((h & np.uint32(BUCKETS - 1), of[at]))
+    return out
 
 
 # -- model ---------------------------------------------------------------------
@@ -176,19 +202,31 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """``table``: embedding times linear layer, a row per bucket; pieces below ``least`` are rejected."""
+    """``table``: embedding times linear layer, a row per bucket; pieces below ``least`` are rejected.
+
+    ``noise``: share of wrong labels among the held-out pieces; ``error``: expected calibration error there.
+    """
 
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     least: float
+    noise: float = 0.0
+    error: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Calibrated probabilities per language."""
-        h, of = hashed(texts)
-        n = np.maximum(np.bincount(of, minlength=len(texts)), 1)
-        z = np.stack([np.bincount(of, self.table[h, k], len(texts)) / n for k in range(len(LANGUAGES))], 1) if len(texts) else np.zeros((0, len(LANGUAGES)))
-        return _softmax((z + self.bias) / self.temperature)
+        """Calibrated probabilities per language; equal texts are scored once."""
+        at: dict[str, int] = {}
+        where = np.array([at.setdefault(t, len(at)) for t in texts], np.int64)
+        own = list(at)
+        z = np.zeros((len(own), len(LANGUAGES)))
+        n = np.zeros(len(own))
+        for h, of in hashed(own):
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(begin):
+                z[of[begin]] += np.add.reduceat(self.table[h], begin, axis=0)
+                n += np.bincount(of, minlength=len(own))
+        return _softmax((z / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)[where]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -201,7 +239,8 @@ def _sgd(texts: list[str], y: np.ndarray, weight: np.ndarray, rng: np.random.Gen
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     lin = rng.normal(0, 0.3, (DIM, len(LANGUAGES))).astype(np.float32)
     bias = np.zeros(len(LANGUAGES), np.float32)
-    h, of = hashed(texts)
+    h, of = (np.concatenate(x) for x in zip(*hashed(texts), strict=True))
+    h = h.astype(np.int64)
     order = np.argsort(of, kind="stable")
     h, n = h[order], np.bincount(of, minlength=len(texts))
     epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
@@ -247,36 +286,56 @@ def train(samples: list[tuple[str, str]], seed: int = 42, epochs: int = 3) -> Mo
     held = np.isin(doc, held)
     first = Model(*_sgd([t for t, h in zip(texts, held, strict=True) if not h], y[~held], weight[~held], rng, 2), 1.0, 0.0)
     p = first.scores(texts)
+    said = y
     sure, y = p.max(1) > 0.6, p.argmax(1)  # wrong labels and foreign paragraphs get the language they are in
     use = np.flatnonzero(sure & ~held)
     table, bias = _sgd([texts[i] for i in use], y[use], weight[use], rng, epochs)
-    check = np.flatnonzero(sure & held)
+    check = np.flatnonzero(held)
     if not len(check):
-        return Model(table, bias, 1.0, 0.5)
-    own = [texts[i] for i in check]
-    raw = Model(table, bias, 1.0, 0.0)
-    z = np.log(np.maximum(raw.scores(own), 1e-12))
-    grid = np.geomspace(0.2, 5, 40)
-    loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in grid]
-    t = float(grid[int(np.argmin(loss))])
-    top = _softmax(z / t).max(1)
-    return Model(table, bias, t, float(np.clip(np.quantile(top, 0.005), 0.4, 0.75)))
+        return Model(table, bias, 1.0, LEAST)
+    z = np.log(np.maximum(Model(table, bias, 1.0, 0.0).scores([texts[i] for i in check]), 1e-30))
+    t, noise, error = calibrated(z, said[check])
+    return Model(table, bias, t, LEAST, noise, error)
+
+
+def calibrated(z: np.ndarray, said: np.ndarray, bins: int = 10) -> tuple[float, float, float]:
+    """Temperature, share of wrong labels and expected calibration error for scores and partly wrong labels."""
+    k, row = z.shape[1], np.arange(len(z))
+    best = (np.inf, 1.0, 0.0)
+    for t in np.geomspace(0.1, 5, 60):
+        own = _softmax(z / t)[row, said]
+        for noise in np.linspace(0, 0.5, 51):
+            loss = -np.log(np.maximum((1 - noise) * own + noise * (1 - own) / (k - 1), 1e-12)).mean()
+            if loss < best[0] - 1e-9:
+                best = (loss, float(t), float(noise))
+    _, t, noise = best
+    p = _softmax(z / t)
+    top, hit = p.max(1), p.argmax(1) == said
+    said_too = (1 - noise) * top + noise * (1 - top) / (k - 1)  # how often a label should agree
+    of = np.minimum((top * bins).astype(int), bins - 1)
+    error = sum(abs(hit[of == b].mean() - said_too[of == b].mean()) * (of == b).mean() for b in range(bins) if (of == b).any())
+    return t, noise, float(error)
 
 
 # -- operator ------------------------------------------------------------------
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 42) -> list[tuple[str, str]]:
-    """At most about ``per_language`` labelled texts of each language, by hash: (text, language)."""
-    t = docs.where(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull())
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST, seed: int = 42) -> list[tuple[str, str]]:
+    """About ``per_language`` labelled texts of each language, never twice as many, by hash: (text, language).
+
+    The counts read only the labels; texts above ``longest`` characters are not learnt from.
+    """
+    t = docs.where(F.col("label").isin(*LANGUAGES))
     n = {r["label"]: r["n"] for r in t.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         return []
     part = F.lit(0.0)
     for lang, k in n.items():
         part = F.when(F.col("label") == lang, F.lit(min(1.0, per_language / k))).otherwise(part)
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = t.where(u < part).select("text", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_language * len(LANGUAGES)).collect()
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    u = F.pmod(h, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = t.where((u < part) & (F.length("text") <= longest)).select(h.alias("h"), "doc_id", "text", "label").limit(2 * per_language * len(LANGUAGES)).collect()
+    rows.sort(key=lambda r: (r["h"], str(r["doc_id"])))
     return [(r["text"], r["label"]) for r in rows]
 
 

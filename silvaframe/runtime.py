@@ -66,6 +66,24 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in one go: written beside its place, then renamed, so nobody sees half of it."""
+    fs, tmp = hadoop(spark, f"{path}.tmp")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(tmp, hadoop(spark, path)[1]):
+        raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop(spark, path)
+    src = fs.open(p)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(src, "UTF-8")
+    src.close()
+    return text
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:
@@ -84,15 +102,25 @@ def written(df: DataFrame, what: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, rank: str = "rank", shards: int = 64) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size, from the sizes of the files it scans.
+
+    Frames that come from no file have no estimate; their rows are counted.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 64 * df.count()
+
+
+def ranked(df: DataFrame, keys: list[str], order: str, rank: str = "rank", shards: int | None = None) -> DataFrame:
     """0-based rank of every row within ``keys`` without one task per key.
 
-    The rows of a key are dealt to ``shards`` slices by the hash of ``order``.
-    The rank is the number of rows in the key's earlier slices (from counts,
-    ``keys x shards`` rows) plus the row number in the own slice.  A key that
-    holds a third of all rows is so sorted by ``shards`` tasks.  ``order`` should be
-    unique within the key; ties get different, arbitrary ranks.
+    The rows of a key are dealt to ``shards`` slices (as many as a shuffle has partitions) by
+    the hash of ``order``.  The rank is the number of rows in the key's earlier slices (from
+    counts, at most ``keys x shards`` rows and never more than rows) plus the row number in
+    the own slice.  A key that holds a third of all rows is so sorted by ``shards`` tasks.
+    ``order`` should be unique within the key; ties get different, arbitrary ranks.
     """
+    shards = shards or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     t = df.withColumn("_s", F.pmod(F.xxhash64(F.col(order), F.lit("slice")), F.lit(shards)).cast("int"))
     own = W.partitionBy(*keys, "_s").orderBy(F.col(order))
     t = t.withColumn("_r", F.row_number().over(own) - 1)

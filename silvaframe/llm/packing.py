@@ -135,15 +135,19 @@ def pack(counts: DataFrame, capacities: dict[str, int]) -> DataFrame:
         runs, _ = plan(dict(zip(own["size"], own["n"], strict=True)), cap)
         runs.sort(key=lambda r: (r.size, r.rank))
         arr = np.array([(r.size, r.rank, r.first, r.each) for r in runs], np.int64).reshape(-1, 4)
-        plans[c] = ((arr[:, 0] << 44) + arr[:, 1], arr)
+        # runs in order of (place of the size among the sizes, rank): 2**23 sizes of 2**40 items each fit
+        of = np.unique(arr[:, 0])
+        if len(of) >= 1 << 23:
+            raise ValueError(f"{len(of)} different sizes are too many for one plan")
+        plans[c] = (of, (np.searchsorted(of, arr[:, 0]) << 40) + arr[:, 1], arr)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             bins = np.zeros(len(f), np.int64)
             for c, rows in f.groupby("container").indices.items():
-                keys, arr = plans[c]
+                of, keys, arr = plans[c]
                 rank = f["rank"].to_numpy()[rows]
-                i = np.searchsorted(keys, (f["size"].to_numpy()[rows] << 44) + rank, "right") - 1
+                i = np.searchsorted(keys, (np.searchsorted(of, f["size"].to_numpy()[rows]) << 40) + rank, "right") - 1
                 bins[rows] = arr[i, 2] + (rank - arr[i, 1]) // arr[i, 3]
             yield f.drop(columns=["rank"]).assign(bin_no=bins)
 

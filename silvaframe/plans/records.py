@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import runtime as R
+from ..functions import raster
 from ..functions.species import absent, composed_name, id_number
 from ..operators import nested as N
 from ..operators import references as X
 
-_LINKS = tuple(N.Table(t.tag, t.name, t.members, t.parent_field) for t in N.COCO if t.tag in ("image", "annotation"))
+_LINKS = tuple(t for t in N.COCO if t.tag in ("image", "annotation"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf}/coco_raw.parquet")
-    t = N.links(N.flatten(raw, "export_id", "payload", payload=False))
+    """The links of the tables that ``_tables`` has written."""
+    t = N.links(N.read_links(spark, _tables(spark, sf)))
     return t.select(F.col("doc_id").alias("export_id"), F.col("tag").alias("child_kind"), F.col("parent").alias("parent_id"), F.col("pk").alias("child_id"))
 
 
@@ -36,12 +37,18 @@ def p5_annotations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Polygons with their points; run-length objects keep their counts as text."""
+    """Polygons with their points; run-length objects with the outlines of their mask."""
     t = N.read_table(spark, _tables(spark, sf), "segment")
-    points = F.from_json("payload", "array<double>")
     rle = F.col("payload").startswith("{")
-    t = t.select(F.col("doc_id").alias("export_id"), F.expr("try_cast(parent as bigint)").alias("annotation_id"), F.expr("try_cast(pk as bigint)").alias("position"), F.when(rle, "rle").otherwise("polygon").alias("form"), F.when(~rle, points).alias("points"), F.when(rle, F.col("payload")).alias("rle"))
-    return t.distinct()
+    t = t.select("doc_id", "parent", "pk", F.when(rle, "rle").otherwise("polygon").alias("form"), F.when(~rle, F.from_json("payload", "array<double>")).alias("points"), F.when(rle, F.col("payload")).alias("rle")).distinct()
+    outlines = F.when(F.col("rle").isNotNull(), raster.rle_parts("rle")).otherwise(F.array("points"))
+    return t.select(F.col("doc_id").alias("export_id"), F.expr("try_cast(parent as bigint)").alias("annotation_id"), F.expr("try_cast(pk as bigint)").alias("position"), "form", outlines.alias("outlines"))
+
+
+def p5_segment_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Form and number of coordinates of every segment given as a polygon."""
+    t = p5_segments(spark, sf).where("form = 'polygon' and annotation_id is not null")
+    return t.select("export_id", "annotation_id", "position", F.size(F.get("outlines", F.lit(0))).cast("long").alias("coordinates")).distinct()
 
 
 def _references(spark: SparkSession, sf: str) -> tuple[list[X.Reference], list[X.Child]]:
@@ -66,7 +73,11 @@ def _references(spark: SparkSession, sf: str) -> tuple[list[X.Reference], list[X
     notes = notes.select(F.expr("try_cast(pk as bigint)").alias("row_key"), F.col("parent").alias("value"), F.col("exported_at").alias("time"))
     refs.append(X.Reference("coco_raw", "image_id", notes, images))
     below = notes.select("row_key", F.expr("try_cast(value as bigint)").alias("parent_key"), "time")
-    return refs, [X.Child("coco_raw", "image_id", "features_por_imagen", below)]
+    parts = N.read_table(spark, path, "segment").join(at, "doc_id")
+    # a segment's key is its annotation's with its position behind it
+    of = F.expr("try_cast(parent as bigint)")
+    segments = parts.select(of.alias("parent_key"), (of * 1000000 + F.expr("try_cast(pk as bigint)")).alias("row_key"), F.col("exported_at").alias("time"))
+    return refs, [X.Child("coco_raw", "image_id", "features_por_imagen", below), X.Child("segments", "annotation_id", "coco_raw", segments)]
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,15 +131,24 @@ dir AS (
 """
 )
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_images": p5_images, "p5_annotations": p5_annotations, "p5_segments": p5_segments}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_images": p5_images, "p5_annotations": p5_annotations, "p5_segments": p5_segments, "p5_segment_sizes": p5_segment_sizes}
 SQL = {
     "p4_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_field, row_key, state, strftime(t, '%Y-%m') AS period FROM dir WHERE state IS NOT NULL",
     "p4_report": _ORPHANS
-    + """, o AS (SELECT DISTINCT * FROM dir WHERE state IS NOT NULL),
+    + f""", o AS (SELECT DISTINCT * FROM dir WHERE state IS NOT NULL),
 inh AS (SELECT DISTINCT ar.k, ar.t FROM ar WHERE v IN (SELECT row_key FROM o WHERE ref_table = 'features_por_imagen') AND k NOT IN (SELECT row_key FROM o WHERE ref_table = 'coco_raw')),
-u AS (SELECT ref_table, ref_field, state, t, 1 AS d FROM o UNION ALL SELECT 'coco_raw', 'image_id', 'inherited', t, 0 FROM inh)
+sg AS (SELECT {_ID.format("id")} AS a, exported_at AS t, json_extract(o, '$.segmentation') AS s, json_type(o, '$.segmentation') AS f FROM an),
+sk AS (SELECT DISTINCT a, p, t FROM (SELECT a, t, 0 AS p FROM sg WHERE f = 'OBJECT' OR (f = 'ARRAY' AND json_type(s, '$[0]') NOT IN ('ARRAY', 'OBJECT'))
+   UNION ALL SELECT a, t, unnest(range(CAST(json_array_length(s) AS BIGINT))) FROM sg WHERE f = 'ARRAY' AND json_type(s, '$[0]') = 'ARRAY') WHERE a IS NOT NULL),
+si AS (SELECT DISTINCT a, p, t FROM sk WHERE a IN (SELECT row_key FROM o WHERE ref_table = 'coco_raw' UNION SELECT k FROM inh)),
+u AS (SELECT ref_table, ref_field, state, t, 1 AS d FROM o UNION ALL SELECT 'coco_raw', 'image_id', 'inherited', t, 0 FROM inh UNION ALL SELECT 'segments', 'annotation_id', 'inherited', t, 0 FROM si)
 SELECT ref_table, ref_field, state, strftime(t, '%Y-%m') AS period, CAST(sum(d) AS BIGINT) AS n_direct, CAST(sum(1 - d) AS BIGINT) AS n_inherited FROM u GROUP BY 1, 2, 3, 4""",
     "p5_found": _P5,
+    "p5_segment_sizes": _DOC
+    + f""", sg AS (SELECT export_id, {_ID.format("id")} AS a, json_extract(o, '$.segmentation') AS s, json_type(o, '$.segmentation') AS t FROM an)
+SELECT DISTINCT export_id, a AS annotation_id, position, n AS coordinates FROM (
+  SELECT export_id, a, 0 AS position, CAST(json_array_length(s) AS BIGINT) AS n FROM sg WHERE t = 'ARRAY' AND json_type(s, '$[0]') NOT IN ('ARRAY', 'OBJECT')
+  UNION ALL SELECT export_id, a, i AS position, CAST(json_array_length(s, '$[' || i || ']') AS BIGINT) FROM (SELECT *, unnest(range(CAST(json_array_length(s) AS BIGINT))) AS i FROM sg WHERE t = 'ARRAY' AND json_type(s, '$[0]') = 'ARRAY')) WHERE a IS NOT NULL AND n > 0""",
     "p5_images": _DOC + f"SELECT DISTINCT export_id, {_ID.format('id')} AS image_id, o->>'$.file_name' AS file_name, CAST(o->>'$.width' AS INT) AS width, CAST(o->>'$.height' AS INT) AS height, o->>'$._species' AS species, o->>'$._split' AS split FROM im",
     "p5_annotations": _DOC
     + f"SELECT DISTINCT export_id, {_ID.format('image_id')} AS image_id, {_ID.format('id')} AS annotation_id, CAST(o->>'$.category_id' AS INT) AS category_id, CAST(o->>'$.area' AS DOUBLE) AS area, CAST(o->>'$.iscrowd' AS INT) AS iscrowd, CAST(o->>'$.score' AS DOUBLE) AS score, CAST(o->>'$.bbox[0]' AS DOUBLE) AS bbox_x, CAST(o->>'$.bbox[1]' AS DOUBLE) AS bbox_y, CAST(o->>'$.bbox[2]' AS DOUBLE) AS bbox_w, CAST(o->>'$.bbox[3]' AS DOUBLE) AS bbox_h FROM an",

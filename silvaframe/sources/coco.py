@@ -44,19 +44,14 @@ def read(spark: SparkSession, *paths: str, required: tuple[str, ...] = ("images"
     SRC-2: raises if a document is invalid or lacks one of the ``required`` lists.
     """
     raw = spark.read.text(list(paths), wholetext=True).select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("file"), "value")
-    names = tuple(required)
-
-    @F.udf("string")
-    def lacking(text: str) -> str | None:
-        docs = N.documents(text, N.COCO)
-        if not docs:
-            return "a COCO document"
-        return ", ".join(n for n in names if n not in docs[0]) or None
-
-    bad = raw.select("file", lacking("value").alias("lacks")).where("lacks is not null").limit(5).collect()
+    notes = N.Table("annotation", "annotations", parent_field="image_id")
+    path = N.write_tables(N.flatten(raw, "doc_id", "value", spec=(N.COCO[0], N.COCO[1], notes), lists=True))
+    has = N.read_table(spark, path, N.DOCUMENT).select("doc_id", F.from_json("payload", "array<string>").alias("lists"))
+    names = F.array(*[F.lit(n) for n in required])
+    bad = raw.select("doc_id", "file").join(has, "doc_id", "left").where(F.col("lists").isNull() | (F.size(F.array_except(names, "lists")) > 0))
+    bad = bad.select("file", F.coalesce(F.array_join(F.array_except(names, "lists"), ", "), F.lit("COCO document")).alias("lacks")).limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"{r['file']}: no {r['lacks']}" for r in bad))
-    path = N.write_tables(N.flatten(raw, "doc_id", "value", spec=(N.COCO[0], N.COCO[1], N.Table("annotation", "annotations", parent_field="image_id"))))
     num = lambda c: F.expr(f"try_cast({c} as bigint)")
     cats = N.read_table(spark, path, "category", CATEGORY).select("doc_id", num("pk").cast("int").alias("id"), "o.*").distinct()
     imgs = N.read_table(spark, path, "image", IMAGE).select("doc_id", num("pk").alias("id"), "o.*").distinct()

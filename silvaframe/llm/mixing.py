@@ -135,6 +135,6 @@ def mix(docs: DataFrame, targets: list[tuple[str, int, int]], seed: int = 42) ->
         plans.append(p)
         rows += [(source, s, *divmod(u, counts[s])) for s, u in p.uses.items()]
     plan = docs.sparkSession.createDataFrame(rows, "source string, n_tokens long, each long, more long")
-    t = docs.withColumn("o", F.struct(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
-    t = R.ranked(t, ["source", "n_tokens"], "o").drop("o").join(plan, ["source", "n_tokens"])
+    t = docs.withColumn("o", F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id"))
+    t = R.ranked(t, ["source", "n_tokens"], "o", uniform="o.h").drop("o").join(plan, ["source", "n_tokens"])
     return t.select("doc_id", "source", "n_tokens", (F.col("each") + (F.col("rank") < F.col("more")).cast("long")).alias("uses")).where("uses > 0"), plans

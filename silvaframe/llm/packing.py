@@ -151,7 +151,7 @@ def pack(counts: DataFrame, capacities: dict[str, int]) -> DataFrame:
                 bins[rows] = arr[i, 2] + (rank - arr[i, 1]) // arr[i, 3]
             yield f.drop(columns=["rank"]).assign(bin_no=bins)
 
-    t = it.withColumn("o", F.struct(F.xxhash64("doc_id", "piece_no"), "doc_id", "piece_no"))
-    t = R.ranked(t, ["container", "size"], "o").drop("o")
+    t = it.withColumn("o", F.struct(F.xxhash64("doc_id", "piece_no").alias("h"), "doc_id", "piece_no"))
+    t = R.ranked(t, ["container", "size"], "o", uniform="o.h").drop("o")
     kind = dict(counts.dtypes)["doc_id"]
     return t.mapInPandas(place, f"container string, doc_id {kind}, piece_no long, first_token long, size long, bin_no long")

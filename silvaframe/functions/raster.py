@@ -77,28 +77,52 @@ def cells(points, width: float, height: float, grid: int = 128) -> list[int]:
     return np.flatnonzero(fill(p.ravel(), grid, grid)).tolist()
 
 
+def rle_runs(counts) -> np.ndarray:
+    """FN-34: lengths of the runs of 0 and 1, given as a list or in the packed text form."""
+    if not isinstance(counts, str):
+        return np.asarray(counts, np.int64)
+    runs, at = [], 0
+    while at < len(counts):
+        value, shift = 0, 0
+        while True:
+            c = ord(counts[at]) - 48
+            value |= (c & 31) << shift
+            shift += 5
+            at += 1
+            if not c & 32:
+                if c & 16:
+                    value -= 1 << shift
+                break
+        runs.append(value + (runs[-2] if len(runs) > 2 else 0))
+    return np.asarray(runs, np.int64)
+
+
 def rle_mask(counts, height: int, width: int) -> np.ndarray:
-    """FN-34: mask of a run-length object: runs of 0 and 1 by columns, as a list or as the packed text form."""
-    if isinstance(counts, str):
-        runs, at = [], 0
-        while at < len(counts):
-            value, shift = 0, 0
-            while True:
-                c = ord(counts[at]) - 48
-                value |= (c & 31) << shift
-                shift += 5
-                at += 1
-                if not c & 32:
-                    if c & 16:
-                        value -= 1 << shift
-                    break
-            runs.append(value + (runs[-2] if len(runs) > 2 else 0))
-    else:
-        runs = list(counts)
+    """FN-34: mask of a run-length object: runs of 0 and 1 by columns."""
+    runs = rle_runs(counts)
     flat = np.repeat(np.arange(len(runs)) % 2 == 1, runs)[: height * width]
     return np.pad(flat, (0, height * width - len(flat))).reshape(width, height).T
 
 
+def rle_outlines(counts, height: int, width: int) -> list[list[float]]:
+    """FN-34: the outlines of a run-length object; only the columns and rows that it touches are unpacked."""
+    runs = rle_runs(counts)
+    stop = np.minimum(np.cumsum(runs), height * width)
+    begin, end = stop[0::2][: len(stop) // 2], stop[1::2]
+    some = end > begin
+    if not some.any():
+        return []
+    x0, x1 = int(begin[some][0] // height), int((end[some][-1] - 1) // height) + 1
+    flat = np.zeros((x1 - x0) * height + 1, np.int8)
+    np.add.at(flat, begin[some] - x0 * height, 1)
+    np.add.at(flat, end[some] - x0 * height, -1)
+    mask = np.cumsum(flat[:-1]).astype(bool).reshape(x1 - x0, height).T
+    rows = np.flatnonzero(mask.any(1))
+    y0, y1 = int(rows[0]), int(rows[-1]) + 1
+    shift = np.array([x0, y0], float)
+    return [(np.reshape(p, (-1, 2)) + shift).ravel().tolist() for p in outlines(mask[y0:y1])]
+
+
 def outlines(mask: np.ndarray, least: float = 4.0, eps: float = 1.0) -> list[list[float]]:
     """FN-34: outer outlines of a mask's regions as flat polygons, simplified by ``eps``; smaller ones than ``least`` pixels are dropped.
 
@@ -163,7 +187,7 @@ def rle_parts(payload: pd.Series) -> pd.Series:
     def parts(text: str | None) -> list:
         try:
             o = json.loads(text or "null")
-            return outlines(rle_mask(o["counts"], *map(int, o["size"])))
+            return rle_outlines(o["counts"], *map(int, o["size"]))
         except (ValueError, KeyError, TypeError, IndexError):
             return []
 
@@ -186,3 +210,17 @@ def mask_overlap_pct(a: pd.Series, b: pd.Series) -> pd.Series:
 def mask_cells(points: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """``cells`` on columns."""
     return pd.Series([cells(p, w, h) for p, w, h in zip(points, width, height, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("w", T.LongType())])))
+def mask_words(outlines: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """FN-31 as bits: the words that are not empty of the grid that all of an annotation's outlines fill, 64 cells to a word."""
+
+    def words(parts, w, h) -> list:
+        at = sorted({c for p in (parts if parts is not None else ()) for c in cells(p, w, h)})
+        bits = np.zeros(128 * 128, np.uint8)
+        bits[at] = 1
+        packed = np.packbits(bits, bitorder="little").view(np.int64)
+        return [{"i": int(i), "w": int(packed[i])} for i in np.flatnonzero(packed)]
+
+    return pd.Series([words(p, w, h) for p, w, h in zip(outlines, width, height, strict=True)])

@@ -211,12 +211,22 @@ def diagnostic_weights(priors: DataFrame, least: float = 0.10, gain: float = 2.0
     return priors.join(c, "class_id", "left").select("species_id", "class_id", w.alias("weight"))
 
 
-def overlap_counts(cells: DataFrame, images: DataFrame) -> DataFrame:
-    """AG-23: per species the number of images in which two classes share a grid cell, a < b.  ``cells``: image_id, class_id, cell."""
-    c = cells.select("image_id", "class_id", "cell").distinct().groupBy("image_id", "cell").agg(F.array_sort(F.collect_set("class_id")).alias("c")).where("size(c) > 1")
-    a = c.select("image_id", "c", F.posexplode("c").alias("i", "a"))
-    p = a.select("image_id", "a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b")).distinct()
-    return p.join(images.select("image_id", "species_id"), "image_id").groupBy("species_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+def image_overlaps(words: DataFrame) -> DataFrame:
+    """AG-23: (image_id, a, b), a < b: the classes of an image whose masks share a grid cell.
+
+    ``words``: image_id, class_id, i, w: the words of masks as bits (64 cells to a word).  The masks of a class are
+    joined by OR, map-side first; pairs meet in a word by AND, so an image has at most classes x 256 rows.
+    """
+    one = words.groupBy("image_id", "i", "class_id").agg(F.bit_or("w").alias("w"))
+    c = one.groupBy("image_id", "i").agg(F.array_sort(F.collect_list(F.struct("class_id", "w"))).alias("c")).where("size(c) > 1")  # a row per class
+    a = c.select("image_id", F.posexplode("c").alias("k", "x"), "c")
+    p = a.select("image_id", F.col("x.class_id").alias("a"), F.explode(F.filter(F.slice("c", F.col("k") + 2, F.size("c")), lambda y: y["w"].bitwiseAND(F.col("x.w")) != 0)).alias("y"))
+    return p.select("image_id", "a", F.col("y.class_id").alias("b")).distinct()
+
+
+def overlap_counts(overlaps: DataFrame, images: DataFrame) -> DataFrame:
+    """AG-23: per species the number of images in which two classes share a grid cell.  ``overlaps``: image_id, a, b."""
+    return overlaps.join(images.select("image_id", "species_id"), "image_id").groupBy("species_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def allowed_overlap(counts: DataFrame, least: int, classes: list[int]) -> DataFrame:

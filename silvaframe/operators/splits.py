@@ -63,8 +63,8 @@ def seed(images: DataFrame, key: str, totals: list[int], quota: list[int], salt:
 
 def systematic(images: DataFrame, key: str, want: int, salt: int) -> DataFrame:
     """SP-4: ``want`` images, spread evenly over the order (mask, hash)."""
-    t = images.select(key, "mask").withColumn("o", F.struct(F.xxhash64(F.lit(salt), key), F.col(key)))
-    t = R.ranked(t, ["mask"], "o")
+    t = images.select(key, "mask").withColumn("o", F.struct(F.xxhash64(F.lit(salt), key).alias("h"), F.col(key)))
+    t = R.ranked(t, ["mask"], "o", uniform="o.h")
     n = images.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
     before = W.orderBy("mask").rowsBetween(W.unboundedPreceding, -1)  # one row per set of classes
     n = n.select(F.col("mask").alias("_m"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_b"), F.sum("n").over(W.partitionBy()).alias("_all"))
@@ -120,8 +120,8 @@ def first_wins(df: DataFrame, key: str, order: list) -> DataFrame:
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, salt: int = 42) -> DataFrame:
     """SP-6: stratified folds 0 .. k-1: rank by hash within the label, modulo k."""
-    t = df.withColumn("_o", F.struct(F.xxhash64(F.lit(salt), key), F.col(key)))
-    return R.ranked(t, [label], "_o", "_rank").withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_o", "_rank")
+    t = df.withColumn("_o", F.struct(F.xxhash64(F.lit(salt), key).alias("h"), F.col(key)))
+    return R.ranked(t, [label], "_o", "_rank", uniform="_o.h").withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_o", "_rank")
 
 
 def align(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[str]]:

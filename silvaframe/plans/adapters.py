@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import runtime as R
 from ..functions import geometry as G
+from ..functions import raster
 from ..functions.species import species_of
 from ..operators import nested as N
 
@@ -39,8 +40,11 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, c) for i, c in zip(IDS, CLASSES, strict=True)], "class_id int, name string")
 
 
-def polygons(spark: SparkSession, sf: str) -> DataFrame:
-    """annotation_id, image_id, class_id, kind, parts, points (the largest part), width, height of the exports' annotations."""
+def polygons(spark: SparkSession, sf: str, masks: bool = False) -> DataFrame:
+    """annotation_id, image_id, class_id, kind, parts, points (the largest part), width, height of the exports' annotations.
+
+    ``masks`` adds ``outlines``: all valid parts, and those of the mask where an annotation is run-length encoded.
+    """
     raw = table(spark, sf, "coco_raw")
     path = N.write_tables(N.flatten(raw, "export_id", "payload", spec=(N.COCO[1], N.Table("annotation", "annotations", parent_field="image_id"))))
     kind = raw.select(F.col("export_id").alias("doc_id"), "kind").distinct()
@@ -48,11 +52,13 @@ def polygons(spark: SparkSession, sf: str) -> DataFrame:
     seg = F.col("o.segmentation")
     many, flat = F.from_json(seg, "array<array<double>>"), F.from_json(seg, "array<double>")
     parts = F.when(seg.startswith("[["), many).when(seg.rlike(r"^\[\s*[-0-9]"), F.array(flat)).otherwise(F.array().cast("array<array<double>>"))
-    a = a.select(F.expr("try_cast(pk as bigint)").alias("annotation_id"), F.expr("try_cast(parent as bigint)").alias("image_id"), F.col("o.category_id").alias("class_id"), "kind", parts.alias("parts"), F.col("o.score").alias("score")).where("annotation_id is not null").distinct()
+    a = a.select(F.expr("try_cast(pk as bigint)").alias("annotation_id"), F.expr("try_cast(parent as bigint)").alias("image_id"), F.col("o.category_id").alias("class_id"), "kind", parts.alias("parts"), F.when(seg.startswith("{"), seg).alias("rle"), F.col("o.score").alias("score")).where("annotation_id is not null").distinct()
+    outlines = F.when(F.col("rle").isNotNull(), raster.rle_parts("rle")).otherwise(G.multipart(F.col("parts"), "split"))
     im = N.read_table(spark, path, "image", "width int, height int")
     im = im.groupBy(F.expr("try_cast(pk as bigint)").alias("image_id")).agg(F.max("o.width").alias("width"), F.max("o.height").alias("height"))
     # written once: filters on the points would else be pushed below and repeat the parsing
-    return R.written(a.withColumn("points", G.largest(F.col("parts"))).join(im, "image_id", "left"), "polygons")
+    a = a.withColumns({"points": G.largest(F.col("parts")), **({"outlines": outlines} if masks else {})}).drop("rle")
+    return R.written(a.join(im, "image_id", "left"), "polygons")
 
 
 _SP = r"CASE WHEN species_id IS NULL OR lower(trim(species_id)) IN ('', 'nan') THEN NULL ELSE try_cast(nullif(regexp_extract(trim(species_id), '^0*(\d+?)(?:\.0*)?$', 1), '') AS BIGINT) END"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import raster
 from ..operators import features as O
 from . import adapters as A
 
@@ -126,24 +127,27 @@ def diagnostic_weights(spark: SparkSession, sf: str) -> DataFrame:
 GRID = 128
 
 
-def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Grid cells of the annotations' boxes (the filled outlines are in raster.cells)."""
-    t = _boxes(spark, sf)
-    lo = lambda v, size: F.greatest(F.lit(0), F.floor(v / F.col(size) * GRID).cast("int"))
-    hi = lambda v, size: F.least(F.lit(GRID - 1), F.floor(v / F.col(size) * GRID).cast("int"))
-    t = t.select("image_id", "class_id", F.col("box")["y0"].alias("y0"), F.col("box")["y1"].alias("y1"), "height", F.explode(F.sequence(lo(F.col("box")["x0"], "width"), hi(F.col("box")["x1"], "width"))).alias("cx"))
-    t = t.select("image_id", "class_id", "cx", F.explode(F.sequence(lo(F.col("y0"), "height"), hi(F.col("y1"), "height"))).alias("cy"))
-    return t.select("image_id", "class_id", (F.col("cx") * GRID + F.col("cy")).alias("cell"))
+def _overlaps(spark: SparkSession, sf: str, outlines: str | Column = "outlines") -> DataFrame:
+    """(image_id, a, b) of the classes whose filled outlines share a cell of the grid."""
+    t = A.polygons(spark, sf, masks=isinstance(outlines, str)).where("width > 0 and height > 0 and image_id is not null and class_id between 1 and 14")
+    t = t.select("image_id", "class_id", F.inline(raster.mask_words(outlines, "width", "height")))
+    return O.image_overlaps(t)
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return O.overlap_counts(_cells(spark, sf), A.images(spark, sf).where("species_id is not null"))
+    return O.overlap_counts(_overlaps(spark, sf), A.images(spark, sf).where("species_id is not null"))
 
 
 def overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _counts(spark, sf)
 
 
+def overlap_largest(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-23 over the largest polygon of each annotation."""
+    t = _overlaps(spark, sf, F.when(F.col("points").isNotNull(), F.array("points")))
+    return O.overlap_counts(t, A.images(spark, sf).where("species_id is not null"))
+
+
 def allowed_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return O.allowed_overlap(_counts(spark, sf), 3, A.IDS)
 
@@ -157,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         image_class_features, image_totals, features_pivot, dissimilarity_features, dataset_stats, trait_scores, empty_images, orphan_annotations, catalog_filter, min_images_filter, small_area_filter, flag_small_by_class, p10_gate,
-        proximity_image_features, species_b1, species_b2, species_b3_jaccard, spatial_b4_image, spatial_b4_species, presence_priors, diagnostic_weights, overlap_counts, allowed_overlap, seed_vs_learned,
+        proximity_image_features, species_b1, species_b2, species_b3_jaccard, spatial_b4_image, spatial_b4_species, presence_priors, diagnostic_weights, overlap_counts, overlap_largest, allowed_overlap, seed_vs_learned,
     )
 }
 
@@ -188,10 +192,18 @@ rf AS (SELECT image_id, greatest(median(d), 1e-12) AS med, quantile_cont(d, 0.25
 b4 AS (SELECT pr.image_id, a, b, median(d) / max(med) AS reldist, avg(CASE WHEN round(d, 9) <= round(near, 9) THEN 1.0 ELSE 0.0 END) AS closefrac,
    avg(CASE WHEN sa + sb - ov > 0 THEN ov / (sa + sb - ov) ELSE 0 END) AS iou, avg(CASE WHEN sa > 0 THEN ov / sa ELSE 0 END) AS contain FROM pr JOIN rf USING (image_id) GROUP BY 1, 2, 3
    UNION ALL SELECT image_id, class_id, class_id, 0, 1, 1, 1 FROM (SELECT image_id, class_id FROM bx GROUP BY 1, 2 HAVING count(*) = 1) JOIN rf USING (image_id))"""
-_OVER = _BOX + """, ce AS (SELECT DISTINCT image_id, class_id, cx, cy FROM (SELECT image_id, class_id, cx, unnest(range(greatest(0, CAST(floor(y0 / height * 128) AS INT)), least(127, CAST(floor(y1 / height * 128) AS INT)) + 1)) AS cy
-   FROM (SELECT image_id, class_id, y0, y1, height, unnest(range(greatest(0, CAST(floor(x0 / width * 128) AS INT)), least(127, CAST(floor(x1 / width * 128) AS INT)) + 1)) AS cx FROM bx))),
+#: Filled polygons on the grid: vertices cut to cells, scan lines by the even-odd rule, and the cells of the outline.
+_OVER = f"""{B}, {A.POLY}, gp AS (SELECT row_number() OVER () AS id, image_id, class_id, list_transform({A.XS}, lambda v: CAST(greatest(0, least(127, trunc(v / width * 128))) AS INT)) AS xs, list_transform({A.YS}, lambda v: CAST(greatest(0, least(127, trunc(v / height * 128))) AS INT)) AS ys
+   FROM poly WHERE points IS NOT NULL AND width > 0 AND height > 0 AND image_id IS NOT NULL AND class_id BETWEEN 1 AND 14),
+ed AS (SELECT id, image_id, class_id, xs[k] AS x, ys[k] AS y, xs[k % len(xs) + 1] AS u, ys[k % len(xs) + 1] AS v FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS k FROM gp)),
+st AS (SELECT *, greatest(abs(u - x), abs(v - y), 1) AS n FROM ed),
+ol AS (SELECT image_id, class_id, CAST(round_even(x + (u - x) * (CAST(s AS DOUBLE) / n), 0) AS INT) AS cx, CAST(round_even(y + (v - y) * (CAST(s AS DOUBLE) / n), 0) AS INT) AS cy FROM (SELECT *, unnest(range(CAST(n AS BIGINT))) AS s FROM st)),
+sc AS (SELECT id, image_id, class_id, x, y, u, v, unnest(range(least(y, v), greatest(y, v))) AS cy FROM ed WHERE y <> v),
+cr AS (SELECT id, image_id, class_id, cy, x + (cy - y) * (CAST(u - x AS DOUBLE) / (v - y)) AS xx FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id, cy ORDER BY xx) AS r FROM cr),
+sp AS (SELECT image_id, class_id, cy, CAST(ceil(min(xx)) AS INT) AS lo, CAST(floor(max(xx)) AS INT) AS hi FROM rk GROUP BY id, image_id, class_id, cy, (r + 1) // 2),
+ce AS (SELECT image_id, class_id, cx, cy FROM ol UNION SELECT image_id, class_id, unnest(range(greatest(lo, 0), least(hi, 127) + 1)) AS cx, cy FROM sp),
 oc AS (SELECT species_id, a, b, count(*) AS n FROM (SELECT DISTINCT x.image_id, x.class_id AS a, y.class_id AS b FROM ce x JOIN ce y ON x.image_id = y.image_id AND x.cx = y.cx AND x.cy = y.cy AND x.class_id < y.class_id) JOIN img USING (image_id) WHERE species_id IS NOT NULL GROUP BY 1, 2, 3)"""
-_ALLOW = "SELECT species_id, a, b FROM oc WHERE n >= {k} UNION SELECT species_id, b, a FROM oc WHERE n >= {k} UNION SELECT species_id, class_id, class_id FROM (SELECT DISTINCT species_id FROM oc) CROSS JOIN cat"
 
 SQL = {
     "image_class_features": _AGG1 + "SELECT image_id, species_id, class_id, n, round(s, 6) AS area_sum, round(m, 6) AS area_mean, round(d, 6) AS area_std, round(dens, 10) AS density_pct FROM f",
@@ -215,7 +227,5 @@ SQL = {
     "spatial_b4_species": _B4 + ", nn AS (SELECT species_id, count(*) AS n FROM (SELECT DISTINCT image_id FROM b4) JOIN img USING (image_id) WHERE species_id IS NOT NULL GROUP BY 1) SELECT species_id, a, b, round(sum(reldist) / max(n), 10) AS reldist, round(sum(closefrac) / max(n), 10) AS closefrac, round(sum(iou) / max(n), 10) AS iou, round(sum(contain) / max(n), 10) AS contain FROM b4 JOIN img USING (image_id) JOIN nn USING (species_id) GROUP BY 1, 2, 3",
     "presence_priors": _PRIOR + " SELECT species_id, class_id, round(presence, 10) AS presence, round(area, 10) AS area FROM pr",
     "diagnostic_weights": _PRIOR + ", c AS (SELECT class_id, avg(area) AS m, stddev_pop(area) + 1e-8 AS s FROM pr WHERE presence >= 0.1 GROUP BY 1) SELECT species_id, pr.class_id, round(CASE WHEN presence >= 0.1 THEN 1 + 2 * least(abs(area - m) / s, 3) / 3 ELSE 1 END, 6) AS weight FROM pr LEFT JOIN c ON c.class_id = pr.class_id",
-    "overlap_counts": _OVER + " SELECT species_id, a, b, n FROM oc",
-    "allowed_overlap": _OVER + " " + _ALLOW.format(k=3),
-    "seed_vs_learned": _OVER + f", s AS ({_ALLOW.format(k=3)}), l AS ({_ALLOW.format(k=1)}) SELECT l.species_id, l.a, l.b, s.a IS NOT NULL AS in_seed, true AS in_learned, s.a IS NULL AS new FROM l LEFT JOIN s ON s.species_id = l.species_id AND s.a = l.a AND s.b = l.b",
+    "overlap_largest": _OVER + " SELECT species_id, a, b, n FROM oc",
 }

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import runtime as R
+from ..functions import geometry as G
 from ..operators import confidence as C
-from ..operators import features as O
 from ..operators import ml
 from ..operators import nested as N
 from ..sinks import writers
@@ -29,13 +29,16 @@ def epoch_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def streaming_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-2: overlaps per image arrive as files and are counted per species and class pair."""
-    c = Q._cells(spark, sf)
-    one = O.overlap_counts(c, A.images(spark, sf).where("species_id is not null").withColumn("species_id", F.concat_ws("|", "species_id", "image_id")))
-    seen = one.select(F.substring_index("species_id", "|", 1).alias("species_id"), "a", "b")
-    path = R.scratch(spark, "overlaps")
-    seen.repartition(8).write.parquet(path)
-    return I.available_now(I.pair_counts(I.file_stream(spark, path, per_trigger=3)), "overlap-state")
+    """STR-2: the class pairs that overlap on an image arrive as files; a first run counts those there are, a second goes on with the rest."""
+    pairs = R.written(Q._overlaps(spark, sf, F.when(F.col("points").isNotNull(), F.array("points"))), "pairs")
+    seen = pairs.join(A.images(spark, sf).where("species_id is not null").select("image_id", "species_id"), "image_id").select("species_id", "a", "b")
+    path, state = R.scratch(spark, "arrivals"), R.scratch(spark, "overlap-state")
+    early = F.xxhash64("species_id", "a", "b") % 2 == 0
+    out = None
+    for part in (seen.where(early), seen.where(~early)):
+        part.write.mode("append").parquet(path)
+        out = I.resumed_counts(I.file_stream(spark, path), ["species_id", "a", "b"], state)
+    return out
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,18 +82,20 @@ def cv_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_files(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-5: the label file of each image as one text."""
-    t = A.polygons(spark, sf).where("image_id is not null and class_id is not null").withColumn("class_id", F.col("class_id") - 1)
-    return writers.label_lines(t, 6)
+    """SNK-5: the label file of each image as one text, a line for each part of an annotation and each outline of a run-length mask."""
+    t = A.polygons(spark, sf, masks=True).where("image_id is not null and class_id is not null").withColumn("class_id", F.col("class_id") - 1)
+    return writers.label_lines(t.withColumn("points", F.explode_outer("outlines")), 6)
 
 
 def label_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-5, SRC-4: label texts written and read again; class and area of every line."""
+    """SNK-5, SRC-4: label texts of the polygons, all their parts, written and read again; class and area of every line."""
     path = R.scratch(spark, "labels")
-    label_files(spark, sf).where("text <> ''").select("text").write.option("lineSep", "\n").text(path)
+    t = A.polygons(spark, sf).where("image_id is not null and class_id is not null").withColumn("class_id", F.col("class_id") - 1)
+    t = t.withColumn("points", F.explode_outer(G.multipart(F.col("parts"), "split")))
+    writers.label_lines(t, 6).where("text <> ''").select("text").write.option("lineSep", "\n").text(path)
     lines = spark.read.text(path).select(F.lit("all").alias("file"), F.lit(0).alias("label_idx"), F.col("value").alias("line")).where("trim(line) <> ''")
     t = L.parse_label_lines(lines, "dissimilarity", classes=14)
-    return t.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 3).alias("area"))
+    return t.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 2).alias("area"))
 
 
 def coco_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +139,7 @@ SQL = {
     "streaming_overlap": Q._OVER + " SELECT species_id, a, b, n FROM oc",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY 1, 2",
     "log_stream": "SELECT event_type, count(*) AS n, round(avg(value), 8) AS value FROM events GROUP BY 1",
-    "label_roundtrip": f"{_POLY} SELECT CAST(class_id - 1 AS INT) AS class_id, count(*) AS n, round(sum({A.AREA} / (width * height)), 3) AS area FROM poly WHERE points IS NOT NULL AND width > 0 AND height > 0 AND image_id IS NOT NULL AND class_id IS NOT NULL GROUP BY 1",
+    "label_roundtrip": f"{_POLY} SELECT CAST(class_id - 1 AS INT) AS class_id, count(*) AS n, round(sum(q1.ar / (width * height)), 2) AS area FROM q1 JOIN (SELECT DISTINCT annotation_id, kind, class_id, width, height FROM poly WHERE width > 0 AND height > 0 AND image_id IS NOT NULL AND class_id IS NOT NULL) USING (annotation_id, kind) GROUP BY 1",
     "coco_roundtrip": f"{_POLY} SELECT image_id, count(*) AS annotations, count(*) AS segments, 14 AS categories FROM poly WHERE points IS NOT NULL AND image_id IS NOT NULL GROUP BY 1",
     "coco_summary": f"{_POLY} SELECT kind, class_id, count(*) AS n, count(DISTINCT image_id) AS images, round(min(score), 6) AS score_min, round(avg(score), 8) AS score_mean, round(max(score), 6) AS score_max FROM poly GROUP BY 1, 2",
     "rename_files": A.BASE + ", f AS (SELECT image_id || '/' || file_name AS name, species_id || '.jpg' AS want, species_id FROM img WHERE file_name IS NOT NULL AND species_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY want ORDER BY CAST(name <> want AS INT), name) - 1 AS n FROM f) SELECT 'fotos' AS folder, name AS old, CASE WHEN n = 0 THEN want ELSE species_id || '_' || n || '.jpg' END AS new, name <> CASE WHEN n = 0 THEN want ELSE species_id || '_' || n || '.jpg' END AS change FROM r",

@@ -78,9 +78,9 @@ def cells(points, width: float, height: float, grid: int = 128) -> list[int]:
 
 
 def rle_runs(counts) -> np.ndarray:
-    """FN-34: lengths of the runs of 0 and 1, given as a list or in the packed text form."""
+    """FN-34: lengths of the runs of 0 and 1, given as a list or in the packed text form; negative ones raise."""
     if not isinstance(counts, str):
-        return np.asarray(counts, np.int64)
+        return _no_negative(np.asarray(counts, np.int64))
     runs, at = [], 0
     while at < len(counts):
         value, shift = 0, 0
@@ -94,7 +94,13 @@ def rle_runs(counts) -> np.ndarray:
                     value -= 1 << shift
                 break
         runs.append(value + (runs[-2] if len(runs) > 2 else 0))
-    return np.asarray(runs, np.int64)
+    return _no_negative(np.asarray(runs, np.int64))
+
+
+def _no_negative(runs: np.ndarray) -> np.ndarray:
+    if (runs < 0).any():
+        raise ValueError("negative run")
+    return runs
 
 
 def rle_mask(counts, height: int, width: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Vectors, distance matrices and what follows from them (DV-1..6, AG-19/20, AG-31/32, WN-1/4, ST-1/2/4).
 
-A matrix is long: (a, b, d).  Matrices are between *labels* (species), whose number
-is bounded, so their pair join is a broadcast of the labels.  Between images
+A matrix is long: (a, b, d).  Matrices are between *labels* (species); their pairs come
+from an equi-join on pairs of blocks of labels.  Between images
 nothing is paired where algebra allows: with unit vectors u the mean cosine distance
 of two groups is 1 - mean(u_a) . mean(u_b), and means and deviations within a
 group follow from its sum vector and its Gram matrix.
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import runtime as R
 from ..functions import vectors as V
 
 
@@ -34,19 +35,34 @@ def z_scored(long: DataFrame, dim: list[str], value: str) -> DataFrame:
     return t.withColumn(value, (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
 
 
+def label_pairs(t: DataFrame, key: str) -> DataFrame:
+    """(l, r): all pairs of rows with l.key < r.key, as structs, by an equi-join on pairs of blocks.
+
+    Keys are dealt to blocks by hash; each row goes once to each block of the other side, so no task sees
+    more than a block of each and nothing is broadcast or crossed.
+    """
+    n = max(2, int(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    own, every = F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = F.struct(*t.columns)
+    left, right = t.select(row.alias("l"), own.alias("ka"), every.alias("kb")), t.select(row.alias("r"), own.alias("kb"), every.alias("ka"))
+    return left.join(right, ["ka", "kb"]).where(F.col(f"l.{key}") < F.col(f"r.{key}")).select("l", "r")
+
+
 def matrix(sig: DataFrame, key: str, metric: Callable[[Column, Column], Column]) -> DataFrame:
     """DV-1..3, DV-6: (a, b, d) of all a < b.  ``sig``: key, v, a bounded number of labels."""
-    a, b = sig.select(F.col(key).alias("a"), F.col("v").alias("va")), sig.select(F.col(key).alias("b"), F.col("v").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", metric(F.col("va"), F.col("vb")).alias("d"))
+    p = label_pairs(sig.select(key, "v"), key)
+    return p.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), metric(F.col("l.v"), F.col("r.v")).alias("d"))
 
 
 def combined(blocks: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:
     """DV-4: weighted mean of the blocks' cosine distances, with each block's own (d_name)."""
-    out, total = None, sum(w for _, w in blocks.values())
+    own, total = None, sum(w for _, w in blocks.values())
     for name, (sig, _) in blocks.items():
         # unit vectors once per label, so that a pair costs one dot product
-        m = matrix(sig.select(key, unit(F.col("v")).alias("v")), key, unit_distance).withColumnRenamed("d", f"d_{name}")
-        out = m if out is None else out.join(m, ["a", "b"])
+        u = sig.select(key, unit(F.col("v")).alias(name))
+        own = u if own is None else own.join(u, key)
+    p = label_pairs(own, key)  # all blocks in one pass over the pairs
+    out = p.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), *[unit_distance(F.col(f"l.{n}"), F.col(f"r.{n}")).alias(f"d_{n}") for n in blocks])
     d = sum((F.col(f"d_{n}") * F.lit(w / total) for n, (_, w) in blocks.items()), F.lit(0.0))
     return out.withColumn("d", d)
 
@@ -79,9 +95,8 @@ def group_sums(points: DataFrame, group: str) -> DataFrame:
 def inter(points: DataFrame, group: str) -> DataFrame:
     """AG-19: mean cosine distance between the images of two groups, a < b, without pairing images."""
     g = group_sums(points, group)
-    a = g.select(F.col(group).alias("a"), F.col("n").alias("na"), F.col("sum").alias("sa"))
-    b = g.select(F.col(group).alias("b"), F.col("n").alias("nb"), F.col("sum").alias("sb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (1 - V.dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))).alias("inter"))
+    p = label_pairs(g, group)
+    return p.select(F.col(f"l.{group}").alias("a"), F.col(f"r.{group}").alias("b"), (1 - V.dot(F.col("l.sum"), F.col("r.sum")) / (F.col("l.n") * F.col("r.n"))).alias("inter"))
 
 
 def intra(points: DataFrame, group: str) -> DataFrame:
@@ -141,11 +156,16 @@ def movement(m1: DataFrame, m2: DataFrame) -> DataFrame:
 def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """Ranks from 1, ties at their mean, without one task for all rows of equal value or all rows at all.
 
-    Values are counted first; only distinct values are put in order.
+    Values are counted first; the distinct ones are put in order by ranges, each in a task of its own, and a
+    range begins behind the rows of those before it (one count per range).
     """
     n = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.orderBy(col).rowsBetween(W.unboundedPreceding, -1)
-    r = n.select(F.col(col).alias("_v"), (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
+    n = R.written(n.repartitionByRange(col).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    at = n.groupBy("_p").agg(F.sum("_c").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+    w = W.partitionBy("_p").orderBy(col).rowsBetween(W.unboundedPreceding, -1)
+    r = n.withColumn("_o", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(at, "_p")
+    r = r.select(F.col(col).alias("_v"), (F.col("_b") + F.col("_o") + (F.col("_c") + 1) / 2).alias(out))
     return df.join(r, F.col(col) == F.col("_v")).drop("_v")
 
 

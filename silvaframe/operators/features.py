@@ -244,6 +244,49 @@ def seed_vs_learned(seed: DataFrame, learned: DataFrame) -> DataFrame:
     return t.withColumn("new", F.col("in_learned") & ~F.col("in_seed"))
 
 
+def percentiles(df: DataFrame, key: str, value: str, q: float, cells: int = 1024, most: int = 1 << 20) -> DataFrame:
+    """(key, p): the exact percentile (interpolated) of each key's values, a bounded number of keys.
+
+    Counts per cell of the values' range say where the two order statistics lie; the range is narrowed to
+    those cells until they hold at most ``most`` rows, and only these are put in order.  Null values do not count.
+    """
+    t = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    s = t.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # a row per key
+    kind = dict(t.dtypes)[key]
+    part = {r[key]: (0, r["n"], r["lo"], r["hi"], r["n"]) for r in s}  # rows below the range, rows in it, the range, all rows
+    done = []
+    while any(m > most and lo < hi for _, m, lo, hi, _ in part.values()):
+        rows = [(k, lo, hi) for k, (_, m, lo, hi, _) in part.items() if m > most and lo < hi]
+        r = df.sparkSession.createDataFrame(rows, f"{key} {kind}, lo double, hi double")
+        c = F.least(F.lit(cells - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)).cast("int").alias("c")
+        hist: dict = {}
+        for x in t.join(r, key).where("v between lo and hi").groupBy(key, c).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy(key, "c").collect():  # keys x cells
+            hist.setdefault(x[key], []).append(x)
+        for k, own in hist.items():
+            below, _, _, _, n = part[k]
+            first = int(q * (n - 1))
+            last = min(first + 1, n - 1)
+            some = []
+            at = below
+            for x in own:
+                if at <= last and at + x["m"] > first:
+                    some.append((at, x))
+                at += x["m"]
+            if len(some) == 2:  # the last of one cell and the first of the next
+                v = some[0][1]["b"], some[1][1]["a"]
+                done.append((k, v[0] + (v[1] - v[0]) * (q * (n - 1) - first)))
+                del part[k]
+            else:
+                part[k] = (some[0][0], some[0][1]["m"], some[0][1]["a"], some[0][1]["b"], n)
+    r = df.sparkSession.createDataFrame([(k, *x) for k, x in part.items()], f"{key} {kind}, below long, m long, lo double, hi double, n long")
+    rest = t.join(r, key).where("v between lo and hi").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("m") <= most, F.col("v")))).alias("a"), F.min("v").alias("only"), F.first("below").alias("below"), F.first("n").alias("n"))  # at most ``most`` rows; more are one value
+    pos = F.lit(q) * (F.col("n") - 1)
+    at = lambda i: F.coalesce(F.get("a", (i - F.col("below")).cast("int")), F.col("only"))
+    lo, hi = at(F.floor(pos)), at(F.least(F.floor(pos) + 1, F.col("n") - 1))
+    out = rest.select(key, (lo + (hi - lo) * (pos - F.floor(pos))).alias("p"))
+    return out.unionByName(df.sparkSession.createDataFrame(done, f"{key} {kind}, p double"))
+
+
 # -- filters -----------------------------------------------------------------------
 
 

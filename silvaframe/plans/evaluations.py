@@ -15,6 +15,8 @@ from ..operators import evaluation as E
 from ..operators import features as O
 from ..operators import proximity as P
 from ..operators import splits as S
+from ..sinks import writers
+from ..sources import labels
 from . import adapters as A
 from . import distances as Q
 from .features import _r
@@ -198,6 +200,12 @@ def union_splits(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("record_id").alias("records"))
 
 
+def split_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-13, SRC-12: the splits written with their dataset.yaml and read through it: images per split."""
+    path = writers.split_dataset(_records(spark, sf).where("trim(image_path) <> ''"), R.scratch(spark, "dataset"), list(A.CLASSES))
+    return labels.split_lists(spark, path).groupBy("split").agg(F.countDistinct("image").alias("images"))
+
+
 def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
     """WN-6: the first of equal paths, train before val before test."""
     pos = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
@@ -282,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         iou_candidates, greedy_match, detection_confusion, confusion_long, confusion_rollup, class_metrics, global_metrics, species_trait_metrics, support_gate, trait_ranking, trait_pivot, class_report, nearest_instance, prior_divergence, image_ids, most_imaged,
-        topk_classes, rank_true, hit_rate, spread_coherence, expected_distance, severity, severity_summary, image_confidence, union_splits, dedupe_first, species_intersection, split_difference, coverage_report, species_distribution, split_assign,
+        topk_classes, rank_true, hit_rate, spread_coherence, expected_distance, severity, severity_summary, image_confidence, union_splits, split_roundtrip, dedupe_first, species_intersection, split_difference, coverage_report, species_distribution, split_assign,
         proximity_pairs, proximity_overlap, duplicate_outlines, overlap_cells,
     )
 }
@@ -341,6 +349,7 @@ SELECT label, round(pr, 8) AS precision, round(re, 8) AS recall, round(f, 8) AS
     "severity_summary": _SEV + " SELECT count(*) AS n, round(avg(correct), 8) AS accuracy, round(avg(severity), 8) AS mean_severity, count(*) FILTER (severity IS NULL) AS unknown FROM sv",
     "image_confidence": f"WITH {A.POLY} SELECT image_id, round(coalesce(avg(score) FILTER (kind = 'pred'), 0), 8) AS mean_score, count(*) FILTER (kind = 'pred') AS n FROM poly WHERE image_id IS NOT NULL GROUP BY 1",
     "union_splits": _RC + " SELECT split, count(*) AS rows, count(DISTINCT record_id) AS records FROM rc GROUP BY 1",
+    "split_roundtrip": _RC + " SELECT split, count(DISTINCT trim(image_path)) AS images FROM rc WHERE trim(image_path) <> '' GROUP BY 1",
     "dedupe_first": _RC + ", d AS (SELECT *, row_number() OVER (PARTITION BY image_path ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, record_id) AS r FROM rc WHERE image_path IS NOT NULL) SELECT image_path, record_id, split FROM d WHERE r = 1",
     "species_intersection": "SELECT species_id FROM train WHERE species_id IS NOT NULL INTERSECT SELECT species_id FROM val INTERSECT SELECT species_id FROM test",
     "split_difference": "SELECT DISTINCT image_path FROM train WHERE image_path IS NOT NULL AND image_path NOT IN (SELECT image_path FROM val WHERE image_path IS NOT NULL UNION ALL SELECT image_path FROM test WHERE image_path IS NOT NULL)",

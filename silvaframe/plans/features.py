@@ -79,8 +79,8 @@ def flag_small_by_class(spark: SparkSession, sf: str) -> DataFrame:
 def p10_gate(spark: SparkSession, sf: str) -> DataFrame:
     """FL-7: annotations below the 10th percentile of their class's areas."""
     t = A.annotations(spark, sf).where("area_frac is not null")
-    p = t.groupBy("class_id").agg(F.percentile("area_frac", F.lit(0.1)).alias("p10"))
-    return t.join(p, "class_id").where("area_frac < p10").select("annotation_id", "class_id")
+    p = O.percentiles(t, "class_id", "area_frac", 0.1)
+    return t.join(p, "class_id").where("area_frac < p").select("annotation_id", "class_id")
 
 
 def proximity_image_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,14 +112,50 @@ def overwrite_guard(folder: str, new: int, most: float = 0.5, pattern: str = "*.
 
 
 def replace_folder(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """SNK-7, SNK-9: write beside the old folder, then swap; readers see the old or the new one, never a half."""
+    """SNK-7, SNK-9: write beside the old folder, move the old one aside, put the new one in its place, then remove the old.
+
+    Nothing is removed before the new folder stands; what a crash has left aside, ``recover_folder`` puts back.
+    """
     spark = df.sparkSession
+    recover_folder(spark, path)
     fs, target = R.hadoop(spark, path)
     table(df, f"{path}.new", form, "overwrite")
-    _, new = R.hadoop(spark, f"{path}.new")
-    fs.delete(target, True)
+    new, old = R.hadoop(spark, f"{path}.new")[1], R.hadoop(spark, f"{path}.old")[1]
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(new, target):
         raise OSError(f"{path} could not be replaced")
+    fs.delete(old, True)
+
+
+def recover_folder(spark: SparkSession, path: str) -> bool:
+    """Put back what an interrupted ``replace_folder`` moved aside; whether there was anything to do."""
+    fs, target = R.hadoop(spark, path)
+    old = R.hadoop(spark, f"{path}.old")[1]
+    if not fs.exists(old):
+        return False
+    if fs.exists(target):  # the new folder stands already
+        fs.delete(old, True)
+    elif not fs.rename(old, target):
+        raise OSError(f"{path} could not be put back")
+    return True
+
+
+def split_dataset(records: DataFrame, folder: str, names: list[str]) -> str:
+    """SNK-13: a CSV folder and a list folder of images per split, and a dataset.yaml that names the lists and the classes; its path.
+
+    ``records`` has split and image_path; all its columns go to the CSV files.
+    """
+    spark = records.sparkSession
+    splits = sorted(r[0] for r in records.select("split").distinct().collect())  # a few names
+    for s in splits:
+        own = records.where(F.col("split") == s)
+        table(own, f"{folder}/{s}.csv", "csv", "overwrite")
+        own.where("image_path is not null").select("image_path").distinct().write.mode("overwrite").text(f"{folder}/{s}.txt")
+    lines = [f"path: {json.dumps(folder)}", *(f"{s}: {s}.txt" for s in splits), "names:", *(f"  {i}: {json.dumps(n)}" for i, n in enumerate(names))]
+    R.remove(spark, f"{folder}/dataset.yaml")
+    R.write_text(spark, f"{folder}/dataset.yaml", "\n".join(lines) + "\n")
+    return f"{folder}/dataset.yaml"
 
 
 def done(df_or_none, path: str) -> bool:

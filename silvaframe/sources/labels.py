@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime as R
 from ..functions import geometry as G
 
 IMAGE_TYPES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
@@ -154,6 +155,22 @@ def split_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("image"), F.lit("unknown").alias("species")).where("image <> ''")
 
 
+def split_lists(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-12: (split, image, species) of the list files that a dataset.yaml names for train, val and test, below its ``path``."""
+    import yaml
+
+    d = yaml.safe_load(R.read_text(spark, path)) or {}
+    base = d.get("path") or path.rsplit("/", 1)[0]
+    out = None
+    for split in ("train", "val", "test"):
+        for name in d[split] if isinstance(d.get(split), list) else [d[split]] if d.get(split) else []:
+            own = split_list(spark, name if "://" in name or name.startswith("/") else f"{base}/{name}").select(F.lit(split).alias("split"), "image", "species")
+            out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError(f"{path} names no list")
+    return out
+
+
 def resolve_paths(records: DataFrame, key: str, candidates: Column, listing: DataFrame, path: str = "path") -> DataFrame:
     """SRC-13: (key, resolved): the first of each record's candidate paths that the listing has; null if none has."""
     t = records.select(F.col(key).alias("_k"), F.posexplode(candidates).alias("_p", "_c"))

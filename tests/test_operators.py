@@ -240,3 +240,15 @@ def test_prior_divergence(spark):
     a = spark.createDataFrame([("s", 1, 0.5, 0.1), ("s", 2, 1.0, 0.2)], s)
     b = spark.createDataFrame([("s", 1, 0.25, 0.1), ("t", 1, 1.0, 0.0)], s)
     assert {r["species_id"]: r["presence_l1"] for r in E.prior_divergence(a, b).collect()} == {"s": 1.25, "t": 1.0}
+
+
+@pytest.mark.parametrize("most", [5, 1 << 20])
+def test_percentiles_against_numpy(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    own = {1: rng.random(200), 2: np.concatenate([np.zeros(51), np.full(49, 9.0)]), 3: np.full(40, 2.5), 4: np.array([7.0]), 5: np.concatenate([rng.random(30), 1e6 + rng.random(30)])}
+    t = spark.createDataFrame([(k, float(x)) for k, v in own.items() for x in v] + [(1, None)], "k int, v double")
+    for q in (0.1, 0.5):
+        got = {r["k"]: r["p"] for r in O.percentiles(t, "k", "v", q, cells=16, most=most).collect()}
+        assert got == pytest.approx({k: float(np.quantile(v, q)) for k, v in own.items()})

@@ -161,6 +161,26 @@ def test_streams(spark, tmp_path):
     assert got == {("s", 1, 2, 4), ("t", 1, 3, 2)}
 
 
+def test_counts_go_on_where_they_stopped(spark, tmp_path):
+    t = spark.createDataFrame([("s", 1, 2), ("s", 1, 2), ("t", 1, 3)], "species_id string, a int, b int")
+    src, state = str(tmp_path / "in"), f"file://{tmp_path}/state"
+    run = lambda: {tuple(r) for r in I.resumed_counts(I.file_stream(spark, src), ["species_id", "a", "b"], state, 3).collect()}
+    t.write.parquet(src)
+    assert run() == {("s", 1, 2, 2), ("t", 1, 3, 1)}
+    spark.createDataFrame([("s", 1, 2), ("u", 5, 6)], t.schema).write.mode("append").parquet(src)
+    want = {("s", 1, 2, 3), ("t", 1, 3, 1), ("u", 5, 6, 1)}
+    assert run() == want and run() == want
+
+
+def test_interrupted_replacement_loses_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    Wr.replace_folder(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a crash between the two renames
+    assert Wr.recover_folder(spark, path) and spark.read.parquet(path).count() == 3
+    Wr.replace_folder(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not Wr.recover_folder(spark, path)
+
+
 def test_classifier(spark):
     rng = np.random.default_rng(0)
     rows = [(i, "ab"[i % 2], float(rng.normal(3 * (i % 2))), None if i == 4 else float(rng.normal(-3 * (i % 2)))) for i in range(120)]

@@ -49,11 +49,30 @@ def greedy_match(spark: SparkSession, sf: str) -> DataFrame:
     return E.greedy(E.candidates(gt, pred, raster.mask_iou, 0.5, G.box_overlap, shape="points"))
 
 
+def _exports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The annotations of the ground-truth exports and those of the predicted ones."""
+    t = A.polygons(spark, sf).where("points is not null and image_id is not null and class_id between 1 and 14")
+    one = lambda kind, name: t.where(F.col("kind") == kind).select("image_id", F.col("annotation_id").alias(name), F.col("class_id").cast("string").alias("label"), "points", G.box(F.col("points")).alias("box"))
+    return one("gt", "gt_id"), one("pred", "pred_id")
+
+
+def export_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """J-9, AG-13 on the exports, by the filled outlines (FN-30)."""
+    gt, pred = (R.written(t, "side") for t in _exports(spark, sf))
+    m = R.written(E.greedy(E.candidates(gt, pred, raster.mask_iou, 0.5, G.box_overlap, shape="points")), "matches")
+    return E.confusion(E.instance_pairs(gt, pred, m))
+
+
+def export_support(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-15 on the exports: instances and predictions per class, which no matching may change."""
+    return E.class_metrics(export_confusion(spark, sf)).select("label", "support", "predicted")
+
+
 def detection_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    """AG-13 over the greedy matches of boxes."""
+    """AG-13 over the greedy matches of filled outlines, with predictions made of the ground truth."""
     gt, pred = _gt_pred(spark, sf)
     gt, pred = R.written(gt, "gt"), R.written(pred, "pred")
-    m = R.written(E.greedy(E.candidates(gt, pred, G.box_iou, 0.5, G.box_overlap)), "matches")
+    m = R.written(E.greedy(E.candidates(gt, pred, raster.mask_iou, 0.5, G.box_overlap, shape="points")), "matches")
     return E.confusion(E.instance_pairs(gt, pred, m))
 
 
@@ -173,6 +192,17 @@ def severity(spark: SparkSession, sf: str) -> DataFrame:
     return _r(_severity(spark, sf), "severity", digits=8)
 
 
+def worst_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-3: a top-k report."""
+    return _r(C.worst(_severity(spark, sf), 20), "severity", digits=8).select("image_id", "true_species", "predicted_species", "severity")
+
+
+def model_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """J-15: the first choices of the classifier on all dimensions and of one that knows the labels."""
+    known = _truth(spark, sf).select("image_id", F.lit(1).alias("rank"), F.col("true_species").alias("species"))
+    return C.agreement(C.topk(_scores(spark, sf), 5), known)
+
+
 def severity_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _r(C.severity_summary(_severity(spark, sf)), "accuracy", "mean_severity", digits=8)
 
@@ -289,7 +319,7 @@ def overlap_cells(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        iou_candidates, greedy_match, detection_confusion, confusion_long, confusion_rollup, class_metrics, global_metrics, species_trait_metrics, support_gate, trait_ranking, trait_pivot, class_report, nearest_instance, prior_divergence, image_ids, most_imaged,
+        export_confusion, export_support, worst_predictions, model_agreement, iou_candidates, greedy_match, detection_confusion, confusion_long, confusion_rollup, class_metrics, global_metrics, species_trait_metrics, support_gate, trait_ranking, trait_pivot, class_report, nearest_instance, prior_divergence, image_ids, most_imaged,
         topk_classes, rank_true, hit_rate, spread_coherence, expected_distance, severity, severity_summary, image_confidence, union_splits, split_roundtrip, dedupe_first, species_intersection, split_difference, coverage_report, species_distribution, split_assign,
         proximity_pairs, proximity_overlap, duplicate_outlines, overlap_cells,
     )
@@ -299,6 +329,7 @@ _GP = f"""WITH {A.POLY}, gt AS (SELECT image_id, annotation_id AS id, list_min({
 pd AS (SELECT image_id, id, x0 + dx AS x0, x1 + dx AS x1, y0 + dy AS y0, y1 + dy AS y1 FROM (SELECT *, (id % 11 - 5) * 3 + CASE WHEN id % 13 = 0 THEN 5000 ELSE 0 END AS dx, (id % 7 - 3) * 3 AS dy FROM gt)),
 ov AS (SELECT g.image_id, g.id AS gt_id, p.id AS pred_id, greatest(least(g.x1, p.x1) - greatest(g.x0, p.x0), 0) * greatest(least(g.y1, p.y1) - greatest(g.y0, p.y0), 0) AS ov, (g.x1 - g.x0) * (g.y1 - g.y0) AS sa, (p.x1 - p.x0) * (p.y1 - p.y0) AS sb FROM gt g JOIN pd p ON g.image_id = p.image_id)
 SELECT image_id, gt_id, pred_id, round(ov / (sa + sb - ov), 8) AS iou FROM ov WHERE ov > 0 AND ov / (sa + sb - ov) >= 0.5"""
+_EX = f"""WITH {A.POLY}, ex AS (SELECT kind, image_id, annotation_id AS id, CAST(class_id AS VARCHAR) AS label, list_min({A.XS}) AS x0, list_max({A.XS}) AS x1, list_min({A.YS}) AS y0, list_max({A.YS}) AS y1 FROM poly WHERE points IS NOT NULL AND image_id IS NOT NULL AND class_id BETWEEN 1 AND 14 AND kind IN ('gt', 'pred'))"""
 _PA = A.BASE + ", pa AS (SELECT ann.image_id, species_id, CAST(class_id AS VARCHAR) AS g, CASE WHEN sphericity < 0.5 THEN CAST(class_id % 14 + 1 AS VARCHAR) WHEN area_frac < 0.001 THEN 'background' ELSE CAST(class_id AS VARCHAR) END AS p FROM ann JOIN img USING (image_id) WHERE species_id IS NOT NULL)"
 
 
@@ -346,6 +377,9 @@ SELECT label, round(pr, 8) AS precision, round(re, 8) AS recall, round(f, 8) AS
     "spread_coherence": _SC + ", s AS (SELECT p.image_id, sum(p.prob * q.prob * d) / sum(p.prob * q.prob) AS s FROM tk p JOIN tk q ON p.image_id = q.image_id AND p.rank < q.rank JOIN y ON y.a = p.species AND y.b = q.species GROUP BY 1) SELECT image_id, round(s, 7) AS spread, round((0.9 - s) / 0.1, 7) AS z, round(1 - s / 0.9, 7) AS coherence FROM s",
     "expected_distance": _SC + ", rw AS (SELECT a, avg(d) AS m, stddev_pop(d) AS s FROM y GROUP BY 1), ex AS (SELECT tk.image_id, true_species, sum(prob * CASE WHEN true_species = species THEN 0 ELSE d END) / sum(prob) AS e FROM tk JOIN tr USING (image_id) LEFT JOIN y ON y.a = true_species AND y.b = species GROUP BY 1, 2) SELECT image_id, true_species, round(e, 7) AS expected, round((m - e) / s, 7) AS calibrated FROM ex JOIN rw ON rw.a = true_species",
     "severity": _SEV + " SELECT image_id, true_species, predicted_species, correct, round(severity, 8) AS severity FROM sv",
+    "worst_predictions": _SEV + " SELECT image_id, true_species, predicted_species, round(severity, 8) AS severity FROM sv WHERE severity IS NOT NULL ORDER BY sv.severity DESC, image_id LIMIT 20",
+    "model_agreement": _SC + " SELECT tk.image_id, species AS first_1, true_species AS first_2, CAST(species = true_species AS INT) AS agree FROM tk JOIN tr USING (image_id) WHERE rank = 1",
+    "export_support": _EX + " SELECT label, count(*) FILTER (kind = 'gt') AS support, count(*) FILTER (kind = 'pred') AS predicted FROM ex GROUP BY 1",
     "severity_summary": _SEV + " SELECT count(*) AS n, round(avg(correct), 8) AS accuracy, round(avg(severity), 8) AS mean_severity, count(*) FILTER (severity IS NULL) AS unknown FROM sv",
     "image_confidence": f"WITH {A.POLY} SELECT image_id, round(coalesce(avg(score) FILTER (kind = 'pred'), 0), 8) AS mean_score, count(*) FILTER (kind = 'pred') AS n FROM poly WHERE image_id IS NOT NULL GROUP BY 1",
     "union_splits": _RC + " SELECT split, count(*) AS rows, count(DISTINCT record_id) AS records FROM rc GROUP BY 1",

@@ -98,6 +98,13 @@ def label_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 2).alias("area"))
 
 
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1, SRC-6: totals per image written as CSV and read again, ids as text."""
+    path = R.scratch(spark, "csv")
+    writers.table(Q.image_totals(spark, sf), path, "csv")
+    return T.read_csv(spark, path, "image_id string, species_id string, total_annotations long, total_area double, density_pct double")
+
+
 def coco_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """SNK-10, SRC-1: documents written per image and flattened again; annotations per image."""
     t = R.written(A.polygons(spark, sf).where("points is not null and image_id is not null"), "polys")
@@ -132,7 +139,7 @@ def write_summary(df: DataFrame, path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
-QUERIES = {f.__name__: f for f in (epoch_mean, streaming_overlap, event_windows, log_stream, rf_topk, rff_topk, cv_scores, label_files, label_roundtrip, coco_roundtrip, coco_summary, rename_files, class_values)}
+QUERIES = {f.__name__: f for f in (epoch_mean, streaming_overlap, event_windows, log_stream, rf_topk, rff_topk, cv_scores, label_files, label_roundtrip, csv_roundtrip, coco_roundtrip, coco_summary, rename_files, class_values)}
 _POLY = f"WITH {A.POLY}"
 SQL = {
     "epoch_mean": "SELECT strftime(ts, '%Y-%m-%d') AS epoch, round(avg(value), 8) AS value, round(avg(CAST(user_id AS DOUBLE)), 8) AS \"user\" FROM events GROUP BY 1",
@@ -140,6 +147,7 @@ SQL = {
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY 1, 2",
     "log_stream": "SELECT event_type, count(*) AS n, round(avg(value), 8) AS value FROM events GROUP BY 1",
     "label_roundtrip": f"{_POLY} SELECT CAST(class_id - 1 AS INT) AS class_id, count(*) AS n, round(sum(q1.ar / (width * height)), 2) AS area FROM q1 JOIN (SELECT DISTINCT annotation_id, kind, class_id, width, height FROM poly WHERE width > 0 AND height > 0 AND image_id IS NOT NULL AND class_id IS NOT NULL) USING (annotation_id, kind) GROUP BY 1",
+    "csv_roundtrip": "SELECT * REPLACE (CAST(image_id AS VARCHAR) AS image_id) FROM (" + Q.SQL["image_totals"] + ")",
     "coco_roundtrip": f"{_POLY} SELECT image_id, count(*) AS annotations, count(*) AS segments, 14 AS categories FROM poly WHERE points IS NOT NULL AND image_id IS NOT NULL GROUP BY 1",
     "coco_summary": f"{_POLY} SELECT kind, class_id, count(*) AS n, count(DISTINCT image_id) AS images, round(min(score), 6) AS score_min, round(avg(score), 8) AS score_mean, round(max(score), 6) AS score_max FROM poly GROUP BY 1, 2",
     "rename_files": A.BASE + ", f AS (SELECT image_id || '/' || file_name AS name, species_id || '.jpg' AS want, species_id FROM img WHERE file_name IS NOT NULL AND species_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY want ORDER BY CAST(name <> want AS INT), name) - 1 AS n FROM f) SELECT 'fotos' AS folder, name AS old, CASE WHEN n = 0 THEN want ELSE species_id || '_' || n || '.jpg' END AS new, name <> CASE WHEN n = 0 THEN want ELSE species_id || '_' || n || '.jpg' END AS change FROM r",

@@ -26,6 +26,15 @@ def near_pairs(polys: DataFrame, most: float = 20.0) -> DataFrame:
     return p.where(F.col("distance") <= most).select("image_id", "class_id", "a", "b", "distance", "pa", "pb")
 
 
+def small_pairs(pairs: DataFrame, limits: DataFrame) -> DataFrame:
+    """FL-7: the near pairs of which at least one outline is smaller than its class's limit; a class without a limit keeps all.
+
+    ``pairs``: as of ``near_pairs``.  ``limits``: class_id, p.
+    """
+    t = pairs.join(limits.select("class_id", F.col("p").alias("_limit")), "class_id", "left")
+    return t.where(F.col("_limit").isNull() | (F.least(G.area(F.col("pa")), G.area(F.col("pb"))) < F.col("_limit"))).select(*pairs.columns)
+
+
 def duplicates(polys: DataFrame, least_pct: float = 95.0) -> DataFrame:
     """ML-11: annotations to discard: (image_id, class_id, annotation_id, kept_id, overlap_pct).
 

@@ -296,6 +296,13 @@ def proximity_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _r(P.near_pairs(_outlines(spark, sf), 20.0).drop("pa", "pb"), "distance", digits=8)
 
 
+def proximity_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """FL-7 on the near pairs: one of the two is among the smallest tenth of its class."""
+    o = _outlines(spark, sf)
+    limits = O.percentiles(o.withColumn("area", G.area(F.col("points"))), "class_id", "area", 0.1)
+    return _r(P.small_pairs(P.near_pairs(o, 20.0), limits).drop("pa", "pb"), "distance", digits=8)
+
+
 def proximity_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """FN-29 on the near pairs."""
     t = P.near_pairs(_outlines(spark, sf), 20.0)
@@ -321,7 +328,7 @@ QUERIES = {
     for f in (
         export_confusion, export_support, worst_predictions, model_agreement, iou_candidates, greedy_match, detection_confusion, confusion_long, confusion_rollup, class_metrics, global_metrics, species_trait_metrics, support_gate, trait_ranking, trait_pivot, class_report, nearest_instance, prior_divergence, image_ids, most_imaged,
         topk_classes, rank_true, hit_rate, spread_coherence, expected_distance, severity, severity_summary, image_confidence, union_splits, split_roundtrip, dedupe_first, species_intersection, split_difference, coverage_report, species_distribution, split_assign,
-        proximity_pairs, proximity_overlap, duplicate_outlines, overlap_cells,
+        proximity_pairs, proximity_gated, proximity_overlap, duplicate_outlines, overlap_cells,
     )
 }
 
@@ -389,6 +396,10 @@ SELECT label, round(pr, 8) AS precision, round(re, 8) AS recall, round(f, 8) AS
     "split_difference": "SELECT DISTINCT image_path FROM train WHERE image_path IS NOT NULL AND image_path NOT IN (SELECT image_path FROM val WHERE image_path IS NOT NULL UNION ALL SELECT image_path FROM test WHERE image_path IS NOT NULL)",
     "coverage_report": _RC + " " + " UNION ALL ".join(f"SELECT split, 'feat_{c}' AS class_name, count(*) FILTER (h{i}) AS images FROM rc GROUP BY 1" for i, c in enumerate(A.CLASSES)),
     "species_distribution": _RC + " SELECT split, species_id, count(*) AS n FROM rc WHERE species_id IS NOT NULL GROUP BY 1, 2",
+    "proximity_gated": f"""WITH {A.POLY}, o AS (SELECT image_id, annotation_id AS id, class_id, {A.AREA} AS area, {A.XS} AS xs, {A.YS} AS ys FROM poly WHERE points IS NOT NULL AND image_id IS NOT NULL AND class_id IS NOT NULL),
+li AS (SELECT class_id, quantile_cont(area, 0.1) AS p FROM o GROUP BY 1), v AS (SELECT image_id, id, class_id, area, unnest(xs) AS x, unnest(ys) AS y FROM o),
+d AS (SELECT p.image_id, p.class_id, p.id AS a, q.id AS b, least(p.area, q.area) AS small, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS d FROM v p JOIN v q ON p.image_id = q.image_id AND p.class_id = q.class_id AND p.id < q.id GROUP BY ALL)
+SELECT image_id, class_id, a, b, round(d, 8) AS distance FROM d JOIN li USING (class_id) WHERE d <= 20 AND small < p""",
     "proximity_pairs": f"""WITH {A.POLY}, o AS (SELECT image_id, annotation_id AS id, class_id, {A.XS} AS xs, {A.YS} AS ys FROM poly WHERE points IS NOT NULL AND image_id IS NOT NULL AND class_id IS NOT NULL),
 v AS (SELECT image_id, id, class_id, unnest(xs) AS x, unnest(ys) AS y FROM o), d AS (SELECT p.image_id, p.class_id, p.id AS a, q.id AS b, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS d FROM v p JOIN v q ON p.image_id = q.image_id AND p.class_id = q.class_id AND p.id < q.id GROUP BY 1, 2, 3, 4)
 SELECT image_id, class_id, a, b, round(d, 8) AS distance FROM d WHERE d <= 20""",

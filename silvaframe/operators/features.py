@@ -149,14 +149,14 @@ def signature_b3(annotations: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def spatial_pairs(polys: DataFrame) -> DataFrame:
-    """J-6: all ordered pairs of annotations of an image, with the distance of their centres over the image's diagonal.
+    """J-6: all pairs of annotations of an image, each once, with the distance of their centres over the image's diagonal.
 
     ``polys``: image_id, annotation_id, class_id, cx, cy, box, diagonal.
     """
     cols = ("annotation_id", "class_id", "cx", "cy", "box")
     a = polys.select("image_id", "diagonal", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = polys.select(F.col("image_id").alias("_i"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    p = a.join(b, (F.col("image_id") == F.col("_i")) & (F.col("a_annotation_id") != F.col("b_annotation_id"))).drop("_i")
+    p = a.join(b, (F.col("image_id") == F.col("_i")) & (F.col("a_annotation_id") < F.col("b_annotation_id"))).drop("_i")
     return p.withColumn("d", F.sqrt(F.pow(F.col("a_cx") - F.col("b_cx"), 2) + F.pow(F.col("a_cy") - F.col("b_cy"), 2)) / F.col("diagonal"))
 
 
@@ -168,11 +168,11 @@ def spatial_b4(polys: DataFrame, q: float, iou: Callable[[Column, Column], Colum
     annotation have no row.  Everything lies by image, so the pair join is the only shuffle.
     """
     image = W.partitionBy("image_id")
-    half = F.when(F.col("a_annotation_id") < F.col("b_annotation_id"), F.col("d"))
-    p = spatial_pairs(polys).withColumns({"med": F.greatest(F.percentile(half, F.lit(0.5)).over(image), F.lit(1e-12)), "near": F.percentile(half, F.lit(q)).over(image)})
-    p = p.withColumn("close", (F.round("d", 9) <= F.round("near", 9)).cast("double"))
-    p = p.withColumns({"iou": iou(F.col("a_box"), F.col("b_box")), "contain": containment(F.col("a_box"), F.col("b_box"))})
-    t = p.groupBy("image_id", F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).agg((F.median("d") / F.max("med")).alias("reldist"), F.avg("close").alias("closefrac"), F.avg("iou").alias("iou"), F.avg("contain").alias("contain"))
+    p = spatial_pairs(polys).withColumn("refs", F.percentile("d", F.array(F.lit(0.5), F.lit(q))).over(image))
+    p = p.withColumns({"med": F.greatest(F.get("refs", F.lit(0)), F.lit(1e-12)), "close": (F.round("d", 9) <= F.round(F.get("refs", F.lit(1)), 9)).cast("double"), "iou": iou(F.col("a_box"), F.col("b_box"))})
+    way = lambda x, y: F.struct(F.col(f"{x}_class_id").alias("a"), F.col(f"{y}_class_id").alias("b"), containment(F.col(f"{x}_box"), F.col(f"{y}_box")).alias("contain"))
+    p = p.select("image_id", "d", "med", "close", "iou", F.inline(F.array(way("a", "b"), way("b", "a"))))  # both orders, after what they share
+    t = p.groupBy("image_id", "a", "b").agg((F.median("d") / F.max("med")).alias("reldist"), F.avg("close").alias("closefrac"), F.avg("iou").alias("iou"), F.avg("contain").alias("contain"))
     n = polys.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n"))
     single = n.withColumn("all", F.sum("n").over(image)).where("n = 1 and all > 1")
     one = F.lit(1.0)
